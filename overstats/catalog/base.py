@@ -108,8 +108,8 @@ SELECT e.*, CASE WHEN innings = 2 AND fmt <> 'test' THEN
     CAST(SUM(CASE WHEN innings = 1 THEN runs_total END) OVER (PARTITION BY match_id) AS BIGINT) + 1 END AS target,
   ROW_NUMBER() OVER (PARTITION BY match_id, innings, over_no ORDER BY seq) AS ball_in_over,
   {PHASE.format(f='fmt', o='over_no')} AS phase,
-  (CASE WHEN kind1 IS NOT NULL AND kind1 NOT IN {NOT_OUT} THEN 1 ELSE 0 END
-   + CASE WHEN kind2 IS NOT NULL AND kind2 NOT IN {NOT_OUT} THEN 1 ELSE 0 END) AS team_wickets,
+  CAST(CASE WHEN kind1 IS NOT NULL AND kind1 NOT IN {NOT_OUT} THEN 1 ELSE 0 END
+   + CASE WHEN kind2 IS NOT NULL AND kind2 NOT IN {NOT_OUT} THEN 1 ELSE 0 END AS BIGINT) AS team_wickets,
   CASE WHEN kind1 IS NOT NULL AND kind1 NOT IN {NOT_BOWLER} THEN kind1
        WHEN kind2 IS NOT NULL AND kind2 NOT IN {NOT_BOWLER} THEN kind2 END AS credited_kind,
   CASE WHEN out1 = batter_id AND kind1 NOT IN {NOT_OUT} THEN kind1
@@ -128,15 +128,15 @@ FROM (
   CASE WHEN innings = 1 THEN team1 ELSE team2 END AS batting_team,
   CASE WHEN innings = 1 THEN team2 ELSE team1 END AS bowling_team
  FROM (
-  SELECT a.*, CASE WHEN q % 13 <> 0 AND q % 17 <> 0 AND runs_batter = 0 AND q % 11 = 0 THEN 1 ELSE 0 END AS byes,
-    CASE WHEN q % 13 <> 0 AND q % 17 <> 0 AND runs_batter = 0 AND q % 21 = 0 THEN 2 ELSE 0 END AS legbyes,
+  SELECT a.*, CAST(CASE WHEN q % 13 <> 0 AND q % 17 <> 0 AND runs_batter = 0 AND q % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS byes,
+    CAST(CASE WHEN q % 13 <> 0 AND q % 17 <> 0 AND runs_batter = 0 AND q % 21 = 0 THEN 2 ELSE 0 END AS BIGINT) AS legbyes,
     (q % 13 <> 0 AND q % 17 <> 0) AS is_legal, (q % 13 <> 0) AS is_faced
   FROM (
    SELECT r.*, {_header(mixed)},
-    CASE WHEN q % 13 = 0 OR q % 10 < 4 THEN 0 WHEN q % 10 < 7 THEN 1 WHEN q % 10 = 7 THEN 2
-         WHEN q % 10 = 8 THEN 4 ELSE 6 END AS runs_batter,
-    CASE WHEN q % 13 = 0 THEN CASE WHEN q = 39 THEN 2 ELSE 1 END ELSE 0 END AS wides,
-    CASE WHEN q % 17 = 0 AND q % 13 <> 0 THEN 1 ELSE 0 END AS noballs,
+    CAST(CASE WHEN q % 13 = 0 OR q % 10 < 4 THEN 0 WHEN q % 10 < 7 THEN 1 WHEN q % 10 = 7 THEN 2
+         WHEN q % 10 = 8 THEN 4 ELSE 6 END AS BIGINT) AS runs_batter,
+    CAST(CASE WHEN q % 13 = 0 THEN CASE WHEN q = 39 THEN 2 ELSE 1 END ELSE 0 END AS BIGINT) AS wides,
+    CAST(CASE WHEN q % 17 = 0 AND q % 13 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS noballs,
     'p' || {two('s')} AS batter_id, 'p' || {two('o')} AS non_striker_id, 'p' || {two('b')} AS bowler_id,
     CASE WHEN dd = 10 AND tt < 2 THEN 'caught' WHEN dd = 10 AND tt = 2 THEN 'bowled' WHEN dd = 10 AND tt = 3 THEN 'lbw'
          WHEN dd = 10 AND tt = 4 THEN 'run out' WHEN dd = 9 AND tt = 8 THEN 'retired hurt'

@@ -22,6 +22,7 @@ def session(app: str = "overstats", master: str | None = None, **conf: str) -> S
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **conf,
     }
     for key, value in settings.items():

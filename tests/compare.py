@@ -82,7 +82,7 @@ def main(argv: list[str]) -> int:
             got = catalog.QUERIES[name](spark, folder).toArrow()
             took = time.time() - start
             if name in catalog.ORACLE:
-                problem = difference(got, con.execute(catalog.ORACLE[name]).fetch_arrow_table())
+                problem = difference(got, con.execute(catalog.ORACLE[name]).to_arrow_table())
             else:
                 problem = None
             note = "" if name in catalog.ORACLE else " (rows only)"
