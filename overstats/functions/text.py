@@ -40,6 +40,16 @@ def team_label(name: Column, gender: Column) -> Column:
     return F.when(gender == "female", F.concat(name, F.lit(" Women"))).otherwise(name)
 
 
+def fixed(value: Column, digits: int, signed: bool = False) -> Column:
+    """A number to fixed digits, rounded on its exact binary value.
+
+    ``format_string`` rounds the printed decimal instead: 43.55 would gain.
+    """
+    pattern = "0" + ("." + "0" * digits if digits else "")
+    pattern = f"+{pattern};-{pattern}" if signed else pattern
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def overs_text(balls: Column, per_over: Column | int = 6) -> Column:
     """262 legal balls -> '43.4'; whole overs keep '.0'."""
     per_over = F.lit(per_over) if isinstance(per_over, int) else per_over

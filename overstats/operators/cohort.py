@@ -7,7 +7,7 @@ ranked together per (format, dimension, metric, subject).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overstats import config as C
@@ -15,6 +15,7 @@ from overstats.functions import rates, text
 from overstats.operators.ranking import (
     mid_rank, pool_quantiles, pool_ranks, quantiles, ranks_against_pool, top_per_group,
 )
+from overstats.session import materialise
 
 # fixed values: what is judged, in the order ties are listed
 #: (key, split dimension, metric, higher is better)
@@ -86,12 +87,13 @@ def _judged(discipline: str):
     return BATTING_JUDGED if discipline == "batting" else BOWLING_JUDGED
 
 
-def judged_splits(splits: DataFrame, overall: DataFrame, discipline: str,
+def judged_splits(splits: DataFrame, discipline: str,
                   gates: C.Thresholds = C.THRESHOLDS) -> DataFrame:
     """Splits as judged rows: value, baseline, shrunk value, ratio, pool flag.
 
-    ``splits`` holds the discipline's counters with an ``all`` row per person,
-    the baseline; ``overall`` decides who is in the pool.
+    A person's ``all`` row carries their baseline and their career balls; a
+    window over a person's few judged subjects hands both to every split, so
+    the splits are read once and joined to nothing.
     """
     c = F.col
     batting = discipline == "batting"
@@ -100,29 +102,29 @@ def judged_splits(splits: DataFrame, overall: DataFrame, discipline: str,
     claim_gate = gates.bat_claim if batting else gates.bowl_claim
     k = C.SHRINK_BATTING if batting else C.SHRINK_BOWLING
     made = _rates(discipline)
-    wanted = [
+    judged = _judged(discipline)
+    metrics = sorted({m for _k, _d, m, _u in judged})
+    whole = c("dimension") == "all"
+    person = Window.partitionBy("person_id", "format_key")
+    rows = splits.where(c("dimension").isin("all", *{d for _k, d, _m, _u in judged})).withColumns(
+        {f"_{m}": made[m] for m in metrics}
+    ).withColumns(
+        {f"_base_{m}": F.max(F.when(whole, c(f"_{m}"))).over(person) for m in metrics}
+        | {"career_balls": F.max(F.when(whole, c("balls"))).over(person)}
+    )
+    wanted = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(key).alias("dimension_key"),
                  F.lit(dim).alias("dim"), F.lit(metric).alias("metric"),
-                 F.lit(up).alias("higher_is_better"), made[metric].alias("value"))
-        for i, (key, dim, metric, up) in enumerate(_judged(discipline))
-    ]
-    rows = splits.where(c("dimension") != "all").select(
-        "person_id", "format_key", "dimension", "subject", "balls",
-        F.explode(F.filter(F.array(*wanted), lambda s: s["dim"] == c("dimension"))).alias("_j"),
-    ).select("person_id", "format_key", "subject", "balls", "_j.*").drop("dim")
-    bases = splits.where(c("dimension") == "all").select(
-        "person_id", "format_key",
-        F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metric"), made[m].alias("baseline"))
-            for m in sorted({m for _k, _d, m, _u in _judged(discipline)})
-        ])).alias("_b"),
-    ).select("person_id", "format_key", "_b.*")
-    size = overall.select("person_id", "format_key", c("balls").alias("career_balls"))
-    joined = rows.join(bases, ["person_id", "format_key", "metric"]).join(
-        size, ["person_id", "format_key"]
-    ).where(c("value").isNotNull() & (c("baseline") > 0) & (c("balls") >= split_gate))
+                 F.lit(up).alias("higher_is_better"), c(f"_{metric}").alias("value"),
+                 c(f"_base_{metric}").alias("baseline"))
+        for i, (key, dim, metric, up) in enumerate(judged)
+    ])
+    rows = rows.where(c("balls") >= split_gate).select(
+        "person_id", "format_key", "subject", "balls", "career_balls",
+        F.inline(F.filter(wanted, lambda j: j["dim"] == c("dimension"))),
+    ).where(c("value").isNotNull() & (c("baseline") > 0)).drop("dim")
     shrunk = rates.shrink(c("value"), c("baseline"), c("balls"), k)
-    return joined.withColumn("shrunk", shrunk).withColumns(
+    return rows.withColumn("shrunk", shrunk).withColumns(
         {
             "ratio": c("shrunk") / c("baseline"),
             "in_pool": c("career_balls") >= cohort_gate,
@@ -141,9 +143,10 @@ def claims(judged: DataFrame, gates: C.Thresholds = C.THRESHOLDS) -> DataFrame:
     Severity ties go by dimension order, then subject.
     """
     c = F.col
-    usable = judged.where(c("in_pool") | c("claimable"))
-    ranked = ranks_against_pool(usable, GROUP, "ratio", "in_pool")
-    change = pool_quantiles(pool_ranks(usable, GROUP, "ratio", "in_pool"), GROUP, "ratio", (0.5,))
+    usable = materialise(judged.where(c("in_pool") | c("claimable")), "judged")
+    ranks = pool_ranks(usable, GROUP, "ratio", "in_pool")
+    ranked = usable.join(ranks, [*GROUP, "ratio"])
+    change = pool_quantiles(ranks, GROUP, "ratio", (0.5,))
     median = quantiles(usable.where("in_pool"), GROUP, "shrunk", (0.5,))
     rows = ranked.where(c("claimable") & (c("n") >= gates.cohort_size)).join(
         change.select(*GROUP, (c("p50") - 1).alias("cohort_change")), list(GROUP)
@@ -183,24 +186,26 @@ def claim_text(rows: DataFrame) -> DataFrame:
     table = {k: d for k, d, _m, _u in BATTING_JUDGED + BOWLING_JUDGED}
     subject = text.subject_label(fmt, text.text_lookup(c("dimension_key"), table), c("subject"))
     digits = lambda v: (
-        F.when(c("metric") == "economy", F.format_string("%.2f", v))
-        .when(c("metric") == "balls_per_dismissal", F.format_string("%.0f", v))
-        .otherwise(F.format_string("%.1f", v)))
+        F.when(c("metric") == "economy", text.fixed(v, 2))
+        .when(c("metric") == "balls_per_dismissal", text.fixed(v, 0))
+        .otherwise(text.fixed(v, 1)))
     diff = c("value") - c("baseline")
     word = F.when(c("discipline") == "batting", "faced").otherwise("bowled")
     metric = text.text_lookup(c("metric"), METRIC_LABELS)
     rank = F.when(
         c("percentile") >= 50,
-        F.format_string("top %.0f%%", F.greatest(F.lit(1.0), F.lit(100.0) - c("percentile"))),
-    ).otherwise(F.format_string("bottom %.0f%%", F.greatest(F.lit(1.0), c("percentile"))))
+        F.concat(F.lit("top "), text.fixed(
+            F.greatest(F.lit(1.0), F.lit(100.0) - c("percentile")), 0), F.lit("%")),
+    ).otherwise(F.concat(F.lit("bottom "), text.fixed(
+        F.greatest(F.lit(1.0), c("percentile")), 0), F.lit("%")))
     sentence = F.concat(
         c("subject_label"), F.lit(": "), metric, F.lit(" of "), digits(c("value")), F.lit(", "),
         digits(F.abs(diff)), F.when(diff > 0, " above").otherwise(" below"), F.lit(" their "),
         metric, F.lit(" of "), digits(c("baseline")), F.lit(" on all balls "), word,
-        F.format_string(" (%+.0f%%)", F.lit(100.0) * diff / c("baseline")),
+        F.lit(" ("), text.fixed(F.lit(100.0) * diff / c("baseline"), 0, signed=True), F.lit("%)"),
         F.lit(" — allowing for sample size, that change is in the "), rank,
         F.lit(" of comparable players (their median change: "),
-        F.format_string("%+.0f%%", F.lit(100.0) * c("cohort_change")), F.lit(") — "),
+        text.fixed(F.lit(100.0) * c("cohort_change"), 0, signed=True), F.lit("%) — "),
         c("balls").cast("string"), F.lit(" balls "), word, F.lit("."),
     )
     return rows.withColumns(
@@ -272,7 +277,8 @@ def profiles(splits: DataFrame, overall: DataFrame, discipline: str,
     asks = subject.withColumns({"member": F.lit(False), "asking": F.lit(True)})
     cols = ("person_id", "format_key", "balls", "career_balls", "axis", "label",
             "higher_is_better", "value", "member", "asking")
-    rows = raw.select(*cols).unionByName(pool.select(*cols)).unionByName(asks.select(*cols))
+    rows = materialise(
+        raw.select(*cols).unionByName(pool.select(*cols)).unionByName(asks.select(*cols)), "axes")
     ranked = ranks_against_pool(rows, ("format_key", "axis"), "value", "member")
     return ranked.where(
         c("asking") & (c("career_balls") >= gate) & (c("balls") >= gate // 4)
@@ -299,6 +305,7 @@ def reference_quantiles(overall: DataFrame, discipline: str,
     ).select("format_key", F.lit(discipline).alias("discipline"), "_m.*").where(
         c("value").isNotNull()
     )
+    rows = materialise(rows, "reference")
     keys = ("format_key", "discipline", "metric")
     return quantiles(rows, keys, "value", (0.10, 0.25, 0.50, 0.75, 0.90)).where(
         c("n") >= gates.cohort_size

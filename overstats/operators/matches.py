@@ -182,9 +182,11 @@ def volume_by_gender(summary: DataFrame) -> DataFrame:
         {"fmt": F.substring_index("format_key", "-", 1),
          "side": F.substring_index("format_key", "-", -1)}
     )
-    sums = split.rollup("fmt").pivot("side", ["m", "w"]).agg(
+    wide = split.groupBy("fmt").pivot("side", ["m", "w"]).agg(
         F.sum("matches").alias("matches"), F.sum("deliveries").alias("deliveries")
     )
+    sums = wide.rollup("fmt").agg(
+        *[F.sum(k).alias(k) for k in ("m_matches", "w_matches", "m_deliveries", "w_deliveries")])
     share = lambda k: F.when(F.col(f"m_{k}") > 0, F.lit(100.0) * F.col(f"w_{k}") / F.col(f"m_{k}"))
     return sums.select(
         F.coalesce("fmt", F.lit("all")).alias("fmt"), "m_matches", "w_matches", "m_deliveries",

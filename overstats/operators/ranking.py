@@ -140,5 +140,5 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     stats = df.groupBy(*keys).agg(
         F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev")
     )
-    median = quantiles(df, keys, value, (0.5,)).withColumnRenamed("p50", "median")
+    median = quantiles(df, keys, value, (0.5,)).drop("n").withColumnRenamed("p50", "median")
     return stats.join(median, list(keys))

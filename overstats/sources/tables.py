@@ -206,10 +206,35 @@ class Tables:
                   F.col("n") % 4).alias("role"),
         )
 
-    def headers(self, mixed: bool = False) -> DataFrame:
+    @cached_property
+    def limited(self) -> DataFrame:
+        """Innings cut where a limited-overs innings ends.
+
+        At most 120 legal balls and ten wickets, and no ball after the target.
+        """
+        c = F.col
+        order = Window.partitionBy("match_id", "innings").orderBy("seq").rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        before = lambda v: F.coalesce(F.sum(v).over(order), F.lit(0))
+        rows = self.deliveries.withColumns(
+            {
+                "_legal": before(F.when(c("is_legal"), 1).otherwise(0)),
+                "_down": before(c("team_wickets")),
+                "_score": before(c("runs_total")),
+            }
+        ).where((c("_legal") < 120) & (c("_down") < 10))
+        first = F.sum(F.when(c("innings") == 1, c("runs_total")).otherwise(0)).over(
+            Window.partitionBy("match_id")
+        )
+        return rows.withColumn("target", F.when(c("innings") == 2, first + 1)).where(
+            (c("innings") == 1) | (c("_score") < c("target"))
+        ).drop("_legal", "_down", "_score")
+
+    def headers(self, mixed: bool = False, rows: DataFrame | None = None) -> DataFrame:
         """Match facts as a document header would state them."""
         c = F.col
-        totals = self.bound(mixed).groupBy("match_id").agg(
+        totals = (self.bound(mixed) if rows is None else rows).groupBy("match_id").agg(
             flags.total(F.when(c("innings") == 1, c("runs_total"))).alias("t1"),
             flags.total(F.when(c("innings") == 2, c("runs_total"))).alias("t2"),
             flags.total(F.when(c("innings") == 2, c("team_wickets"))).alias("w2"),
