@@ -368,7 +368,7 @@ LEFT JOIN (SELECT person_id, format_key, COUNT(*) AS matches FROM nm{x} GROUP BY
 def _cut(x: str) -> str:
     """Balls kept for the win model: within 120 legal balls, ten wickets, the target."""
     return f"""
-SELECT k.* EXCLUDE (target, legal_before, wickets_before, score_before, t1), t1 + 1 AS target FROM (
+SELECT k.* REPLACE (CASE WHEN innings = 2 THEN CAST(t1 AS BIGINT) + 1 END AS target) FROM (
  SELECT z.*, SUM(CASE WHEN innings = 1 AND legal_before < 120 AND wickets_before < 10 THEN runs_total ELSE 0 END)
    OVER (PARTITION BY match_id) AS t1 FROM (
   SELECT d.*, COALESCE(SUM(CASE WHEN is_legal THEN 1 ELSE 0 END) OVER w, 0) AS legal_before,
@@ -377,10 +377,25 @@ SELECT k.* EXCLUDE (target, legal_before, wickets_before, score_before, t1), t1
 WHERE legal_before < 120 AND wickets_before < 10 AND (innings = 1 OR score_before < t1 + 1)"""
 
 
+def _trace(x: str) -> str:
+    """States before each legal ball of matches the model can use."""
+    return f"""
+SELECT c.match_id, c.format_key, c.date, c.venue_key, c.innings, CAST(legal_before AS BIGINT) AS state_no,
+ CAST(120 - legal_before AS BIGINT) AS u, CAST(wickets_before AS BIGINT) AS w, CAST(score_before AS BIGINT) AS r,
+ h.t1 AS first_total, (h.w1 >= 10 OR h.b1 >= 120) AS first_complete,
+ COALESCE(c.target, h.t1 + 1) AS target, CASE WHEN h.t1 > h.t2 THEN TRUE WHEN h.t2 > h.t1 THEN FALSE END AS batting_first_won
+FROM cut c JOIN (SELECT match_id, {total('CASE WHEN innings = 1 THEN runs_total END')} AS t1,
+  {total('CASE WHEN innings = 2 THEN runs_total END')} AS t2, {total('CASE WHEN innings = 1 THEN team_wickets END')} AS w1,
+  {n_if('innings = 1 AND is_legal')} AS b1, {n_if('innings = 2 AND is_legal')} AS b2, COUNT(DISTINCT innings) AS n
+  FROM cut GROUP BY 1) h USING (match_id)
+WHERE h.n = 2 AND c.match_id % 17 <> 0 AND b1 > 0 AND b2 > 0 AND is_legal
+ AND (h.t1 = h.t2 OR (c.match_id % 19 <> 0 AND c.match_id % 23 <> 0))"""
+
+
 NEEDS = {
     "balls": (), "d": ("balls",), "w": ("d",), "app": ("w",), "bi": ("app",), "wi": ("d",),
     "bs": ("app",), "bws": ("d",), "bo": ("bi", "bs"), "bwo": ("wi", "bws"), "it": ("d",),
-    "m": ("it",), "side": ("m",), "tr": ("side",), "nm": ("d",), "car": ("bo", "bwo", "nm"),
+    "cut": ("d",), "trace": ("cut",), "m": ("it",), "side": ("m",), "tr": ("side",), "nm": ("d",), "car": ("bo", "bwo", "nm"),
 }
 
 
@@ -393,6 +408,7 @@ def _cte(name: str, mixed: bool) -> str:
         "bs": lambda: _batting_splits(x), "bws": lambda: _bowling_splits(x),
         "bo": lambda: _batting_overall(x), "bwo": lambda: _bowling_overall(x),
         "it": lambda: _innings_totals(x), "m": lambda: _matches(x, mixed),
+        "cut": lambda: _cut(x), "trace": lambda: _trace(x),
         "side": lambda: _sides(x), "tr": lambda: _team_records(x), "nm": lambda: _names(x),
         "car": lambda: _careers(x),
     }[name]()
