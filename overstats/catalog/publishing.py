@@ -1 +1,204 @@
-"""Queries (to come)."""
+"""Queries over publishing, guards and quality checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from overstats.catalog.base import n_if, query, sql, total
+from overstats.catalog.matches import match_rows
+from overstats.operators import matches as match_ops
+from overstats.operators import players, publish, quality, ranking, state, teams
+from overstats.session import materialise
+from overstats.sources import fingerprint as prints
+from overstats.sources import sinks
+
+
+def _old(rows):
+    """The same table as an earlier build held it: some rows absent, some stale."""
+    k = F.col("o_orderkey")
+    return rows.where(k % 11 != 3).withColumn(
+        "o_custkey", F.when(k % 7 == 2, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+
+
+COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 5 AND o_orderkey % 11 = 3 THEN NULL WHEN o_orderkey % 13 = 5 THEN 'deleted'
+ WHEN o_orderkey % 11 = 3 THEN 'inserted' WHEN o_orderkey % 7 = 2 THEN 'updated' ELSE 'unchanged' END AS status FROM orders
+WHERE NOT (o_orderkey % 13 = 5 AND o_orderkey % 11 = 3)""")
+def change_set(t):
+    rows = t.table("orders").select(*COLS)
+    return publish.change_set(_old(rows), rows.where(F.col("o_orderkey") % 13 != 5), ["o_orderkey"])
+
+
+@query("""SELECT 'orders' AS "table", status, COUNT(*) AS n FROM (SELECT CASE WHEN o_orderkey % 13 = 5 THEN 'deleted'
+ WHEN o_orderkey % 11 = 3 THEN 'inserted' WHEN o_orderkey % 7 = 2 THEN 'updated' ELSE 'unchanged' END AS status FROM orders
+WHERE NOT (o_orderkey % 13 = 5 AND o_orderkey % 11 = 3)) GROUP BY 2""")
+def change_counts(t):
+    rows = t.table("orders").select(*COLS)
+    return publish.change_counts(publish.change_set(
+        _old(rows), rows.where(F.col("o_orderkey") % 13 != 5), ["o_orderkey"]), "orders")
+
+
+@query("""SELECT o_orderkey, SHA256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority
+ || '","o_orderstatus":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS hash FROM orders""")
+def row_hashes(t):
+    rows = t.table("orders").select(*COLS).withColumn(
+        "o_orderstatus", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")))
+    return rows.select("o_orderkey", publish.row_hash(rows).alias("hash"))
+
+
+@query("""SELECT o_custkey, BOOL_OR(changed) AS changed FROM (SELECT o_custkey, o_orderkey % 101 = 7 AS changed FROM orders) GROUP BY 1""")
+def changed_groups(t):
+    """Groups with any changed row, found by comparing one hash per group."""
+    rows = t.table("orders").select(*COLS)
+    stale = rows.withColumn("o_orderpriority", F.when(
+        F.col("o_orderkey") % 101 == 7, "was").otherwise(F.col("o_orderpriority")))
+    was, now = publish.group_hash(stale, ["o_custkey"]), publish.group_hash(rows, ["o_custkey"])
+    return was.withColumnRenamed("hash", "_was").join(now, "o_custkey").select(
+        "o_custkey", (F.col("_was") != F.col("hash")).alias("changed"))
+
+
+@query("""SELECT o_custkey, o_orderkey, size FROM (SELECT o_custkey, o_orderkey, o_orderkey % 50 AS size,
+ ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 50 DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
+def deduplicated(t):
+    rows = t.table("orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 50).alias("size"))
+    return ranking.dedupe_largest(rows, "o_custkey", "size", "o_orderkey")
+
+
+@query("""SELECT kind, format_key, before, after FROM (SELECT 'orders' AS kind, o_orderpriority AS format_key, COUNT(*) AS before,
+ COUNT(CASE WHEN o_orderkey % 10 <> 3 OR o_orderpriority <> '1-URGENT' THEN 1 END) AS after FROM orders GROUP BY 2) WHERE before > 0 AND after < before * CAST(0.95 AS DOUBLE)""")
+def shrink_guard(t):
+    c = F.col
+    rows = t.table("orders").withColumn("format_key", c("o_orderpriority"))
+    now = rows.where((c("o_orderkey") % 10 != 3) | (c("o_orderpriority") != "1-URGENT"))
+    return publish.shrink_problems(publish.input_counts({"orders": rows}),
+                                   publish.input_counts({"orders": now}))
+
+
+@query(sql("SELECT match_id FROM mx WHERE match_id % 6 = 1", "m", mixed=True))
+def missing_replays(t):
+    stored = t.headers(True).where(F.col("match_id") % 6 != 1)
+    return publish.missing_replays(t.headers(True), stored)
+
+
+RUNS = "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 40 = 7 THEN 'complete' ELSE 'failed' END AS status, o_orderdate AS finished_at FROM orders"
+
+
+def _runs(t):
+    k = F.col("o_orderkey")
+    return t.table("orders").select(
+        k.cast("string").alias("run_id"), F.when(k % 40 == 7, "complete").otherwise("failed").alias("status"),
+        F.col("o_orderdate").alias("finished_at"))
+
+
+@query(f"""WITH r AS ({RUNS}) SELECT run_id, status FROM (SELECT * FROM (SELECT * FROM r ORDER BY finished_at DESC, run_id DESC LIMIT 30)
+ UNION SELECT * FROM (SELECT * FROM r WHERE status = 'complete' ORDER BY finished_at DESC, run_id DESC LIMIT 1))""")
+def retained_runs(t):
+    return publish.retained_runs(_runs(t)).select("run_id", "status")
+
+
+@query(f"WITH r AS ({RUNS}) SELECT run_id FROM r WHERE status = 'complete' ORDER BY finished_at DESC, run_id DESC LIMIT 1")
+def active_run(t):
+    return publish.active_run(_runs(t)).select("run_id")
+
+
+@query("""SELECT p_partkey, CASE WHEN fmt IN ('test', 'odi', 't20i') THEN fmt || '-m' ELSE fmt END AS format_key FROM (
+ SELECT p_partkey, list_extract(['test', 'odi', 't20i', 'odi-w'], CAST(p_partkey % 4 + 1 AS INT)) AS fmt FROM part)""")
+def rekeyed(t):
+    from overstats.sources.tables import _pick
+    rows = t.table("part").select("p_partkey", _pick(("test", "odi", "t20i", "odi-w"), F.col("p_partkey") % 4).alias("fmt"))
+    return publish.rekey_old(rows).select("p_partkey", "format_key")
+
+
+def _damaged(t):
+    m = F.col("match_id")
+    return match_rows(t).withColumns({
+        "team2": F.when(m % 13 == 0, F.col("team1")).otherwise(F.col("team2")),
+        "end_date": F.when(m % 10 == 4, "2009-01-01").otherwise(F.col("end_date")),
+        "gender": F.when(m % 8 == 5, "unknown").otherwise(F.col("gender"))})
+
+
+@query(sql("""SELECT key, rule FROM (SELECT CAST(match_id AS VARCHAR) AS key, UNNEST([CASE WHEN match_id % 13 = 0 THEN 'teams' END,
+ CASE WHEN match_id % 10 = 4 THEN 'end_date' END, CASE WHEN match_id % 8 = 5 THEN 'gender' END,
+ CASE WHEN match_id % 13 = 0 AND winner = team2 THEN 'winner_played' END]) AS rule FROM mx) WHERE rule IS NOT NULL""", "m", mixed=True))
+def contract_violations(t):
+    return quality.violations(_damaged(t), quality.match_rules(), ["match_id"])
+
+
+@query(sql("""SELECT team_id AS key, 'team of a record' AS rule FROM (SELECT DISTINCT team1_id AS team_id FROM mx UNION SELECT team2_id FROM mx)
+ WHERE team_id NOT IN (SELECT team_id FROM trx WHERE facet = 'overall' AND won % 2 = 0)""", "tr", mixed=True))
+def orphaned_keys(t):
+    rows = materialise(match_rows(t), "matches")
+    known = teams.records(rows).where("facet = 'overall' AND won % 2 = 0")
+    ids = rows.select(F.explode(F.array("team1_id", "team2_id")).alias("team_id"))
+    return quality.orphans(ids, "team_id", known, "team_id", "team of a record")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS key, 'unique line' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1")
+def duplicate_keys(t):
+    return quality.duplicates(t.table("lineitem"), ["l_orderkey", "l_linenumber"], "unique line")
+
+
+@query(sql("""SELECT match_id, innings, CASE WHEN match_id % 9 = 4 THEN 'no replay' ELSE 'totals differ' END AS problem
+FROM itx WHERE match_id % 9 = 4 OR (match_id % 7 = 3 AND innings = 2)""", "it", mixed=True))
+def reconciled_innings(t):
+    """Replay totals against match totals, some replays missing or wrong."""
+    totals = match_ops.innings_totals(t.mixed)
+    got = totals.where(F.col("match_id") % 9 != 4).withColumn("wickets", F.when(
+        (F.col("match_id") % 7 == 3) & (F.col("innings") == 2), F.col("wickets") + 1).otherwise(F.col("wickets")))
+    return quality.reconcile_innings(got, totals).select("match_id", "innings", "problem")
+
+
+@query(sql("""SELECT match_id, person_id, balls, runs, wickets, maidens, 'player' AS only_in FROM wix WHERE match_id % 9 = 4
+UNION ALL SELECT match_id, person_id, balls, runs + 1, wickets, maidens, 'replay' FROM wix WHERE match_id % 9 <> 4 AND balls > 10
+UNION ALL SELECT match_id, person_id, balls, runs, wickets, maidens, 'player' FROM wix WHERE match_id % 9 <> 4 AND balls > 10""", "wi", mixed=True))
+def reconciled_bowling(t):
+    """Bowling figures compared as multisets both ways."""
+    c = F.col
+    logged = materialise(state.bowling_innings(t.mixed), "bowling")
+    got = logged.where(c("match_id") % 9 != 4).withColumn(
+        "runs", F.when(c("balls") > 10, c("runs") + 1).otherwise(c("runs")))
+    return quality.reconcile_bowling(got, logged)
+
+
+@query(sql("SELECT CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS rule FROM d WHERE FALSE", "d"))
+def split_sums(t):
+    """Dimensions that cover every ball must add up to the whole: no rows."""
+    splits = materialise(players.batting_splits(t.deliveries, t.people), "splits")
+    out = quality.split_sums(splits, "phase", players.BAT_COUNTS)
+    for dimension in ("entry", "position", "innings_no", "year", "vs_bowler"):
+        out = out.unionByName(quality.split_sums(splits, dimension, players.BAT_COUNTS))
+    return out.select(F.col("key").alias("key"), F.col("rule").alias("rule"))
+
+
+@query(sql(f"""SELECT match_id, innings, {n_if('q % 2 = 1 AND runs_extras > 0')} AS balls, MIN(CASE WHEN q % 2 = 1 AND runs_extras > 0 THEN seq END) AS first_seq
+FROM d GROUP BY 1, 2 HAVING COUNT(CASE WHEN q % 2 = 1 AND runs_extras > 0 THEN 1 END) > 0""", "d"))
+def extras_mismatches(t):
+    rows = t.deliveries.withColumn("runs_extras", F.when(
+        (F.col("q") % 2 == 1) & (F.col("runs_extras") > 0), F.col("runs_extras") + 1).otherwise(F.col("runs_extras")))
+    return quality.extras_mismatches(rows)
+
+
+@query(sql("SELECT match_id, COUNT(*) AS balls FROM dx GROUP BY 1", "d", mixed=True))
+def replay_sizes(t):
+    return sinks.replay_sizes(sinks.replay_documents(t.mixed, match_rows(t)))
+
+
+@query(sql(f"""SELECT match_id, innings, {total('runs_batter + runs_extras')} AS runs, COUNT(*) AS balls, MIN(seq) AS first_seq, MAX(seq) AS last_seq FROM dx GROUP BY 1, 2""", "d", mixed=True))
+def replay_documents(t):
+    """Replay documents read back ball by ball."""
+    c = F.col
+    balls = sinks.explode_replays(sinks.replay_documents(t.mixed, match_rows(t), t.people))
+    return balls.groupBy("match_id", "innings").agg(
+        F.sum(c("runs_batter") + c("runs_extras")).alias("runs"), F.count(F.lit(1)).alias("balls"),
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query()
+def fingerprints(t):
+    """A digest per source of its documents' names, checksums and sizes."""
+    entries = t.table("documents").select(
+        F.col("source").alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"),
+        F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("size"))
+    return prints.fingerprint(entries)
