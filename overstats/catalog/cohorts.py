@@ -170,14 +170,14 @@ def profile_sql(discipline: str) -> str:
 @query(profile_sql("batting"))
 def batting_profiles(t):
     splits = materialise(bat_splits(t), "splits")
-    overall = players.batting_overall(bat_innings(t), splits)
+    overall = players.batting_overall(bat_innings(t), players.whole(splits))
     return cohort.profiles(splits, overall, "batting")
 
 
 @query(profile_sql("bowling"))
 def bowling_profiles(t):
     splits = materialise(bowl_splits(t), "splits")
-    overall = players.bowling_overall(bowl_innings(t), splits)
+    overall = players.bowling_overall(bowl_innings(t), players.whole(splits))
     return cohort.profiles(splits, overall, "bowling")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from overstats.catalog.base import n_if, query, ratio, sql, total
 from overstats.functions import flags, rates
 from overstats.operators import players, ranking, state
+from overstats.session import materialise
 
 BAT = "balls, runs, outs, fours, sixes, dots, singles, scoring_balls"
 BOWL = "balls, runs, wickets, dots, fours, sixes, wides, noballs"
@@ -35,11 +36,13 @@ def bowl_innings(t, mixed=False):
 
 
 def bat_overall(t, mixed=False):
-    return players.batting_overall(bat_innings(t, mixed), bat_splits(t, mixed))
+    rows = t.hold(mixed)
+    return players.batting_overall(bat_innings(t, mixed), players.batting_totals(rows))
 
 
 def bowl_overall(t, mixed=False):
-    return players.bowling_overall(bowl_innings(t, mixed), bowl_splits(t, mixed))
+    rows = t.hold(mixed)
+    return players.bowling_overall(bowl_innings(t, mixed), players.bowling_totals(rows))
 
 
 @query(sql(f"""SELECT person_id, format_key, subject AS phase, {BAT}, {BAT_RATES}
@@ -125,6 +128,7 @@ def display_names(t):
  UNION ALL SELECT bowler_id, format_key, 'bowling', 'wicket_kind', credited_kind FROM dx WHERE credited_kind IS NOT NULL)
 GROUP BY ALL""", "bi", mixed=True))
 def dismissal_counts(t):
+    t.hold(mixed=True)
     return players.dismissal_counts(bat_innings(t, True), t.mixed, t.people)
 
 
@@ -148,6 +152,7 @@ def bowling_milestones(t):
  LIST_SORT(LIST(DISTINCT team)) AS teams FROM (SELECT person_id, date, team, balls FROM bix
  UNION ALL SELECT person_id, date, team, balls FROM wix) GROUP BY 1""", "bi", "wi", mixed=True))
 def career_spans(t):
+    t.hold(mixed=True)
     return players.career_spans(bat_innings(t, True), bowl_innings(t, True))
 
 
@@ -190,16 +195,19 @@ FULL JOIN (SELECT person_id, format_key, SUBSTR(date, 1, 4) AS year, COUNT(*) AS
 FULL JOIN (SELECT person_id, format_key, SUBSTR(date, 1, 4) AS year, COUNT(*) AS wi_n FROM wix GROUP BY 1, 2, 3) wn USING (person_id, format_key, year)""",
            "bo", "bwo", mixed=True))
 def yearly(t):
+    t.hold(mixed=True)
     return players.yearly(bat_splits(t, True), bowl_splits(t, True), bat_innings(t, True),
                           bowl_innings(t, True))
 
 
 def careers_table(t, mixed=True):
-    bi, wi = bat_innings(t, mixed), bowl_innings(t, mixed)
-    rows = t.mixed if mixed else t.deliveries
+    rows = t.hold(mixed)
+    bi = materialise(bat_innings(t, mixed), "batting-innings")
+    wi = materialise(bowl_innings(t, mixed), "bowling-innings")
     return players.careers(
-        players.squads_from_deliveries(rows), bat_overall(t, mixed), players.batting_milestones(bi),
-        bowl_overall(t, mixed), players.bowling_milestones(wi))
+        players.squads_from_deliveries(rows),
+        players.batting_overall(bi, players.batting_totals(rows)), players.batting_milestones(bi),
+        players.bowling_overall(wi, players.bowling_totals(rows)), players.bowling_milestones(wi))
 
 
 CAREER = ("person_id", "format_key", "matches", "bat_innings", "runs", "balls", "outs", "fours",

@@ -170,7 +170,7 @@ def compared_profiles(t):
     """Two players on the profile axes both have."""
     from overstats.catalog.players import bat_innings, bat_splits
     splits = materialise(bat_splits(t), "splits")
-    overall = players.batting_overall(bat_innings(t), splits)
+    overall = players.batting_overall(bat_innings(t), players.whole(splits))
     profiles = cohort.profiles(splits, overall, "batting")
     return read.compare("p03", "p10", careers_table(t, False), profiles, "t20i-m")[1]
 

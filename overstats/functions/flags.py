@@ -18,20 +18,33 @@ def bowler_credited(kind: Column) -> Column:
 
 def team_wickets(wickets: Column) -> Column:
     """Wickets the batting side lost on a ball."""
-    return F.coalesce(F.size(F.filter(wickets, lambda w: is_dismissal(w["kind"]))), F.lit(0))
+    one = F.get(wickets, F.lit(0))["kind"]
+    return (
+        F.when(F.coalesce(F.size(wickets), F.lit(0)) <= 0, 0)
+        .when(F.size(wickets) == 1, F.when(is_dismissal(one), 1).otherwise(0))
+        .otherwise(F.size(F.filter(wickets, lambda w: is_dismissal(w["kind"]))))
+    )
+
+
+def _first_kind(wickets: Column, test) -> Column:
+    """Kind of the first wicket that passes; the usual none or one is direct."""
+    one = F.get(wickets, F.lit(0))
+    return (
+        F.when(F.coalesce(F.size(wickets), F.lit(0)) <= 0, F.lit(None).cast("string"))
+        .when(F.size(wickets) == 1, F.when(test(one), one["kind"]))
+        .otherwise(F.get(F.filter(wickets, test), F.lit(0))["kind"])
+    )
 
 
 def credited_kind(wickets: Column) -> Column:
     """Kind of the bowler's wicket on a ball (at most one), null if none."""
-    return F.get(F.filter(wickets, lambda w: bowler_credited(w["kind"])), F.lit(0))["kind"]
+    return _first_kind(wickets, lambda w: bowler_credited(w["kind"]))
 
 
 def dismissal_kind_of(wickets: Column, person: Column) -> Column:
     """Kind of the dismissal of ``person`` on a ball, null if none."""
-    mine = F.filter(
-        wickets, lambda w: (w["player_out_id"] == person) & is_dismissal(w["kind"])
-    )
-    return F.get(mine, F.lit(0))["kind"]
+    return _first_kind(
+        wickets, lambda w: (w["player_out_id"] == person) & is_dismissal(w["kind"]))
 
 
 def extras_by_kind(extras: Column) -> dict[str, Column]:

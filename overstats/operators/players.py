@@ -88,14 +88,11 @@ def _stack(deliveries: DataFrame, person: str, dimensions: dict[str, Column],
         F.struct(F.lit(name).alias("dimension"), subject.cast("string").alias("subject"))
         for name, subject in dimensions.items()
     ])
-    keep = F.filter(pairs, lambda p: F.coalesce(p["subject"], F.lit("")) != "")
     rows = deliveries.where(F.col(person) != "").select(
-        F.col(person).alias("person_id"), "format_key", *needs, F.explode(keep).alias("_d")
-    )
-    return rows.groupBy(
-        "person_id", "format_key", F.col("_d.dimension").alias("dimension"),
-        F.col("_d.subject").alias("subject"),
-    ).agg(*[v.alias(k) for k, v in counts.items()])
+        F.col(person).alias("person_id"), "format_key", *needs, F.inline(pairs)
+    ).where(F.col("subject") != "")
+    return rows.groupBy("person_id", "format_key", "dimension", "subject").agg(
+        *[v.alias(k) for k, v in counts.items()])
 
 
 BAT_NEEDS = ("is_faced", "runs_batter", "striker_out_kind", "is_four", "is_six", "is_dot")
@@ -157,23 +154,38 @@ def bowling_splits(deliveries: DataFrame, people: DataFrame) -> DataFrame:
     return _stack(rows, "bowler_id", bowling_dimensions(), bowling_counts(), BOWL_NEEDS)
 
 
-def batting_overall(innings: DataFrame, splits: DataFrame) -> DataFrame:
+def batting_totals(deliveries: DataFrame) -> DataFrame:
+    """A batter's counters over every ball, without fanning out the splits."""
+    return deliveries.groupBy(F.col("batter_id").alias("person_id"), "format_key").agg(
+        *[v.alias(k) for k, v in batting_counts().items()])
+
+
+def bowling_totals(deliveries: DataFrame) -> DataFrame:
+    return deliveries.where(F.col("bowler_id") != "").groupBy(
+        F.col("bowler_id").alias("person_id"), "format_key"
+    ).agg(*[v.alias(k) for k, v in bowling_counts().items()])
+
+
+def whole(splits: DataFrame) -> DataFrame:
+    """The same totals, read off splits already made."""
+    return splits.where(F.col("dimension") == "all").drop("dimension", "subject")
+
+
+def batting_overall(innings: DataFrame, totals: DataFrame) -> DataFrame:
     """Career counters: every ball faced, and dismissals at either end."""
     other = innings.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("innings"), flags.total(F.col("outs_other_end")).alias("_other")
     )
-    base = splits.where(F.col("dimension") == "all").drop("dimension", "subject")
-    joined = other.join(base, [*KEYS], "left")
+    joined = other.join(totals, [*KEYS], "left")
     filled = {k: F.coalesce(k, F.lit(0)) for k in BAT_COUNTS}
     return joined.withColumns(filled).withColumn("outs", F.col("outs") + F.col("_other")).drop(
         "_other"
     )
 
 
-def bowling_overall(innings: DataFrame, splits: DataFrame) -> DataFrame:
+def bowling_overall(innings: DataFrame, totals: DataFrame) -> DataFrame:
     count = innings.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("innings"))
-    base = splits.where(F.col("dimension") == "all").drop("dimension", "subject")
-    return base.join(count, [*KEYS], "inner")
+    return totals.join(count, [*KEYS], "inner")
 
 
 def position_innings(innings: DataFrame) -> DataFrame:

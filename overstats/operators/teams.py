@@ -68,15 +68,14 @@ def records(matches: DataFrame) -> DataFrame:
         F.struct(F.lit(name).alias("facet"), subject.alias("subject"))
         for name, subject in facets().items()
     ])
-    keep = F.filter(pairs, lambda p: p["subject"].isNotNull())
     batted_first = c("batting_first") == c("team")
     total = F.when(batted_first, c("first_innings_total"))
     rows = sides(matches).select(
         "team", *TEAM, "outcome", "end_date", "start_date", "match_id", "opponent",
-        total.alias("first_total"), F.explode(keep).alias("_f"),
-    )
+        total.alias("first_total"), F.inline(pairs),
+    ).where(c("subject").isNotNull())
     out = rows.groupBy(
-        *TEAM, c("_f.facet").alias("facet"), c("_f.subject").alias("subject")
+        *TEAM, "facet", "subject"
     ).agg(
         F.max("team").alias("team"), F.count(F.lit(1)).alias("matches"),
         *[flags.count_if(c("outcome") == o).alias(o) for o in OUTCOMES],

@@ -77,8 +77,8 @@ def plan(documents: DataFrame, places: DataFrame, people: DataFrame,
     bowl_log = materialise(state.bowling_innings(balls), "bowling-innings")
     bat_cuts = materialise(players.batting_splits(balls, people), "batting-splits")
     bowl_cuts = materialise(players.bowling_splits(balls, people), "bowling-splits")
-    bat = materialise(players.batting_overall(bat_log, bat_cuts), "batting-overall")
-    bowl = materialise(players.bowling_overall(bowl_log, bowl_cuts), "bowling-overall")
+    bat = materialise(players.batting_overall(bat_log, players.whole(bat_cuts)), "batting-overall")
+    bowl = materialise(players.bowling_overall(bowl_log, players.whole(bowl_cuts)), "bowling-overall")
     latest = players.latest_names(
         docs.registry(placed).join(
             squads.select("match_id", "person_id").distinct(), ["match_id", "person_id"]))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from overstats.functions import flags, styles, text
+from overstats.session import materialise
 
 TEAMS = ("India", "Australia", "England", "Pakistan", "South Africa", "New Zealand",
          "West Indies", "Sri Lanka")
@@ -77,6 +78,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._held: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -187,6 +189,16 @@ class Tables:
         """The same balls spread over three formats and two genders."""
         return self.bound(mixed=True)
 
+    def hold(self, mixed: bool = False) -> DataFrame:
+        """The bound balls written once, for queries that read them several times."""
+        name = "mixed" if mixed else "deliveries"
+        if name not in self._held:
+            self._held.add(name)
+            self.__dict__[name] = materialise(getattr(self, name).drop(
+                "batter", "non_striker", "bowler", "q", "season", "penalty_post"
+            ).withColumns({r: F.col(f"{r}_id") for r in ("batter", "non_striker", "bowler")}), name)
+        return self.__dict__[name]
+
     @cached_property
     def people(self) -> DataFrame:
         """Bowling type and batting hand of every person who appears."""
@@ -208,6 +220,10 @@ class Tables:
 
     @cached_property
     def limited(self) -> DataFrame:
+        """:meth:`cut`, written once: the model reads it several times."""
+        return materialise(self.cut(), "limited")
+
+    def cut(self) -> DataFrame:
         """Innings cut where a limited-overs innings ends.
 
         At most 120 legal balls and ten wickets, and no ball after the target.
