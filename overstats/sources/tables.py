@@ -36,8 +36,17 @@ GROUNDS = (
 TYPE_CODES = ("rf", "rfm", "rm", "lf", "lfm", "lm", "ob", "lb", "sla", "")
 
 
+def _literals(values) -> str:
+    return "array(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
+
+
 def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(F.expr(_literals(values)), (index + 1).cast("int"))
+
+
+def _at(values, index: str) -> Column:
+    """:func:`_pick` with the index as SQL text."""
+    return F.expr(f"element_at({_literals(values)}, cast({index} + 1 as int))")
 
 
 def _by(rows: Column, field: str) -> Column:
@@ -53,22 +62,23 @@ def person(n: Column) -> Column:
     return F.concat(F.lit("p"), _two(n))
 
 
-def match_columns(match_id: Column, mixed: bool) -> dict[str, Column]:
+def match_columns(mixed: bool) -> dict[str, Column]:
     """Everything about a match that follows from its number."""
-    m = match_id
-    fmt = F.when(m % 5 == 3, "odi").when(m % 5 == 4, "test").otherwise("t20i")
-    gender = F.when(m % 7 == 0, "female").otherwise("male")
-    fmt, gender = (fmt, gender) if mixed else (F.lit("t20i"), F.lit("male"))
-    year = F.lit(2010) + m % 14
-    date = F.concat_ws("-", year.cast("string"), _two(1 + m % 12), _two(1 + m % 28))
+    fmt, gender, key = "'t20i'", "'male'", "'t20i-m'"
+    if mixed:
+        fmt = "CASE WHEN match_id % 5 = 3 THEN 'odi' WHEN match_id % 5 = 4 THEN 'test' ELSE 't20i' END"
+        gender = "CASE WHEN match_id % 7 = 0 THEN 'female' ELSE 'male' END"
+        key = f"concat({fmt}, CASE WHEN match_id % 7 = 0 THEN '-w' ELSE '-m' END)"
     return {
-        "fmt": fmt, "gender": gender, "format_key": text.format_key(fmt, gender),
-        "date": date, "year": year.cast("string"),
-        "venue": _pick([g[0] for g in GROUNDS], m % 12),
-        "city": _pick([g[1] for g in GROUNDS], m % 12),
-        "venue_key": _pick([g[2] for g in GROUNDS], m % 12),
-        "country": _pick([g[3] for g in GROUNDS], m % 12),
-        "team1": _pick(TEAMS, m % 8), "team2": _pick(TEAMS, (m + 3) % 8),
+        "fmt": F.expr(fmt), "gender": F.expr(gender), "format_key": F.expr(key),
+        "date": F.expr("concat_ws('-', string(2010 + match_id % 14), "
+                       "lpad(string(1 + match_id % 12), 2, '0'), lpad(string(1 + match_id % 28), 2, '0'))"),
+        "year": F.expr("string(2010 + match_id % 14)"),
+        "venue": _at([g[0] for g in GROUNDS], "match_id % 12"),
+        "city": _at([g[1] for g in GROUNDS], "match_id % 12"),
+        "venue_key": _at([g[2] for g in GROUNDS], "match_id % 12"),
+        "country": _at([g[3] for g in GROUNDS], "match_id % 12"),
+        "team1": _at(TEAMS, "match_id % 8"), "team2": _at(TEAMS, "(match_id + 3) % 8"),
     }
 
 
@@ -104,51 +114,43 @@ class Tables:
 
     def bound(self, mixed: bool = False) -> DataFrame:
         c = F.col
-        q, d, t = c("q"), c("dd"), c("tt")
-        wide, noball = q % 13 == 0, (q % 17 == 0) & (q % 13 != 0)
-        digit = q % 10
-        bat = (
-            F.when(wide, 0).when(digit < 4, 0).when(digit < 7, 1).when(digit == 7, 2)
-            .when(digit == 8, 4).otherwise(6)
-        )
-        legal = ~wide & ~noball
-        striker = c("l_partkey") % 60
-        other = (c("l_partkey") + 7) % 60
-        wicket = lambda kind, who: F.struct(
-            F.lit(kind).alias("kind"),
-            F.concat(F.lit("Player "), _two(who)).alias("player_out"),
-            person(who).alias("player_out_id"),
-        )
-        kinds = (
-            F.when((d == 10) & (t < 2), F.array(wicket("caught", striker)))
-            .when((d == 10) & (t == 2), F.array(wicket("bowled", striker)))
-            .when((d == 10) & (t == 3), F.array(wicket("lbw", striker)))
-            .when((d == 10) & (t == 4) & (q % 2 == 0), F.array(wicket("run out", other)))
-            .when((d == 10) & (t == 4), F.array(wicket("run out", striker)))
-            .when((d == 9) & (t == 8), F.array(wicket("retired hurt", striker)))
-            .when((d == 9) & (t == 7) & (q % 5 == 0),
-                  F.array(wicket("caught", striker), wicket("run out", other)))
-            .when((d == 9) & (t == 6) & (q % 9 == 0),
-                  F.array(wicket("timed out", (striker + 13) % 60)))
-            .otherwise(F.array().cast(
-                "array<struct<kind:string,player_out:string,player_out_id:string>>"))
-        )
+        who = {"batter": "l_partkey % 60", "non_striker": "(l_partkey + 7) % 60",
+               "bowler": "l_suppkey % 40", "unseen": "(l_partkey % 60 + 13) % 60"}
+        two = {role: f"lpad(string({n}), 2, '0')" for role, n in who.items()}
+
+        def out(kind: str, role: str) -> str:
+            return (f"struct('{kind}' AS kind, concat('Player ', {two[role]}) AS player_out, "
+                    f"concat('p', {two[role]}) AS player_out_id)")
+
+        kinds = f"""CASE
+            WHEN dd = 10 AND tt < 2 THEN array({out('caught', 'batter')})
+            WHEN dd = 10 AND tt = 2 THEN array({out('bowled', 'batter')})
+            WHEN dd = 10 AND tt = 3 THEN array({out('lbw', 'batter')})
+            WHEN dd = 10 AND tt = 4 AND q % 2 = 0 THEN array({out('run out', 'non_striker')})
+            WHEN dd = 10 AND tt = 4 THEN array({out('run out', 'batter')})
+            WHEN dd = 9 AND tt = 8 THEN array({out('retired hurt', 'batter')})
+            WHEN dd = 9 AND tt = 7 AND q % 5 = 0
+              THEN array({out('caught', 'batter')}, {out('run out', 'non_striker')})
+            WHEN dd = 9 AND tt = 6 AND q % 9 = 0 THEN array({out('timed out', 'unseen')})
+            ELSE cast(array() AS array<struct<kind:string,player_out:string,player_out_id:string>>) END"""
         order = Window.partitionBy("match_id", "innings").orderBy("seq")
         rows = self.balls().withColumns(
             {
-                **match_columns(c("match_id"), mixed),
-                "runs_batter": bat,
-                "wides": F.when(wide, F.when(q == 39, 2).otherwise(1)).otherwise(0),
-                "noballs": F.when(noball, 1).otherwise(0),
-                "byes": F.when(legal & (bat == 0) & (q % 11 == 0), 1).otherwise(0),
-                "legbyes": F.when(legal & (bat == 0) & (q % 21 == 0), 2).otherwise(0),
+                **match_columns(mixed),
+                "runs_batter": F.expr("CASE WHEN q % 13 = 0 OR q % 10 < 4 THEN 0 WHEN q % 10 < 7 THEN 1 "
+                                      "WHEN q % 10 = 7 THEN 2 WHEN q % 10 = 8 THEN 4 ELSE 6 END"),
+                "wides": F.expr("CASE WHEN q = 39 THEN 2 WHEN q % 13 = 0 THEN 1 ELSE 0 END"),
+                "noballs": F.expr("CASE WHEN q % 17 = 0 AND q % 13 <> 0 THEN 1 ELSE 0 END"),
+                "_legal": F.expr("CASE WHEN q % 13 <> 0 AND q % 17 <> 0 THEN 1 ELSE 0 END"),
                 "penalty": F.lit(0), "penalty_pre": F.lit(0), "penalty_post": F.lit(0),
-                "wickets": kinds,
-                **{f"{role}_id": person(n) for role, n in (
-                    ("batter", striker), ("non_striker", other), ("bowler", c("l_suppkey") % 40))},
-                **{role: F.concat(F.lit("Player "), _two(n)) for role, n in (
-                    ("batter", striker), ("non_striker", other), ("bowler", c("l_suppkey") % 40))},
-                "_legal": F.when(legal, 1).otherwise(0),
+                "wickets": F.expr(kinds),
+                **{f"{r}_id": F.expr(f"concat('p', {two[r]})") for r in ("batter", "non_striker", "bowler")},
+                **{r: F.expr(f"concat('Player ', {two[r]})") for r in ("batter", "non_striker", "bowler")},
+            }
+        ).withColumns(
+            {
+                "byes": F.expr("CASE WHEN _legal = 1 AND runs_batter = 0 AND q % 11 = 0 THEN 1 ELSE 0 END"),
+                "legbyes": F.expr("CASE WHEN _legal = 1 AND runs_batter = 0 AND q % 21 = 0 THEN 2 ELSE 0 END"),
             }
         )
         rows = rows.withColumns(
@@ -257,8 +259,7 @@ class Tables:
             F.count_distinct("innings").alias("n"),
         )
         m = c("match_id")
-        cols = match_columns(m, mixed)
-        rows = totals.withColumns(cols)
+        rows = totals.withColumns(match_columns(mixed))
         void = (c("n") < 2) | (m % 17 == 0)
         draw = (c("fmt") == "test") & (m % 4 == 0)
         winner = F.when(~void & ~draw & (c("t1") > c("t2")), c("team1")).when(
