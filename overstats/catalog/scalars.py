@@ -43,9 +43,6 @@ def phases(t):
                           flags.phase_of(F.col("fmt"), F.col("over")).alias("phase"))
 
 
-LABELS = ("powerplay", "middle", "death", "new_ball", "old_ball", "second_new")
-
-
 @query(sql("""SELECT fmt, phase, label, COUNT(*) AS balls FROM (SELECT fmt, phase, CASE WHEN fmt = 'test' THEN CASE phase WHEN 'new_ball' THEN 'New ball (1-20)'
    WHEN 'old_ball' THEN 'Old ball (21-80)' ELSE 'Second new ball (81+)' END
   WHEN fmt = 'odi' THEN CASE phase WHEN 'powerplay' THEN 'Powerplay (1-10)' WHEN 'middle' THEN 'Middle (11-40)' ELSE 'Death (41-50)' END

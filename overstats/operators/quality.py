@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overstats.operators import state
-
 
 def violations(df: DataFrame, rules: dict[str, Column], keys: Sequence[str]) -> DataFrame:
     """One row per broken rule: (rule, key). A null outcome is a violation."""
@@ -168,7 +166,3 @@ def check_counts(replay_totals: DataFrame, replay_bowling: DataFrame, top_bowler
         .unionByName(count(replay_bowling, "bowler_innings"))
         .unionByName(count(top_bowlers, "team_bowlers"))
     )
-
-
-def replay_bowling_figures(deliveries: DataFrame) -> DataFrame:
-    return state.bowling_innings(deliveries)
