@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from overstats.llm import textbytes as tb
 
 #: Words of which a task keeps the ids; then it starts afresh.
-REMEMBER = 300_000
+REMEMBER = 800_000
 #: Largest tokenizer file that is sent to the tasks.
 FILE_BYTES = 64 << 20
 #: How byte-level BPE cuts a text into words (fixed value).
@@ -77,9 +77,17 @@ class Tokenizer:
         keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self.wholes = np.zeros(len(model["merges"]), np.int64)
+        for rank, whole in self.merges.values():
+            self.wholes[rank] = whole
+        self.byte_array = np.array(self.byte_ids, np.int64)
+        self.byte_ranks = self.ranks(np.repeat(self.byte_array, 256), np.tile(self.byte_array, 256)).reshape(256, 256)
         #: Tokens that their own bytes encode to.
         self.vocab = {x: at for x, at in ids.items() if len(x) == 1 or self.exact(x) == [at]}
-        self.longest = max(map(len, self.vocab))
+        #: Length of the longest entry that begins with two bytes.
+        self.longest: dict[bytes, int] = {}
+        for x in self.vocab:
+            self.longest[x[:2]] = max(len(x), self.longest.get(x[:2], 1))
 
     def exact(self, word: bytes) -> list[int]:
         """BPE by merging: the lowest rank first, of equal ones the leftmost."""
@@ -112,11 +120,66 @@ class Tokenizer:
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return [x for x in ids if x >= 0]
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, NEVER where there is none."""
+        key = a << 32 | b
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.key_ranks[place], NEVER)
+
+    def exact_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`exact` gives for each word, and how many ids: one merge of every word at a time."""
+        lengths = np.array([len(x) for x in words], np.int64)
+        sizes, found = np.zeros(len(words), np.int64), []
+        for low, width in ((0, 8), (8, 16), (16, 40)):
+            own = np.flatnonzero((lengths > low) & (lengths <= width))
+            if not len(own):
+                continue
+            length = lengths[own]
+            raw = np.frombuffer(b"".join(words[k].ljust(width, b"\0") for k in own.tolist()), np.uint8).reshape(-1, width)
+            ids = self.byte_array[raw]
+            rank = np.full(raw.shape, NEVER)
+            rank[:, :-1] = self.byte_ranks[raw[:, :-1], raw[:, 1:]]
+            rank[np.arange(width)[None, :] >= length[:, None] - 1] = NEVER
+            alive = np.arange(width)[None, :] < length[:, None]
+            after = np.tile(np.arange(1, width + 1), (len(own), 1))
+            before = np.tile(np.arange(-1, width - 1), (len(own), 1))
+            row = np.arange(len(own))
+            while True:
+                at = rank[row].argmin(1)
+                best = rank[row, at]
+                go = best < NEVER
+                row, at, best = row[go], at[go], best[go]
+                if not len(row):
+                    break
+                gone = after[row, at]
+                right = after[row, gone]
+                ids[row, at], alive[row, gone], rank[row, gone], after[row, at] = self.wholes[best], False, NEVER, right
+                more = right < length[row]
+                rank[row, at] = NEVER
+                r, x, y = row[more], at[more], right[more]
+                before[r, y] = x
+                rank[r, x] = self.ranks(ids[r, x], ids[r, y])
+                left = before[row, at]
+                more = left >= 0
+                r, x, y = row[more], left[more], at[more]
+                rank[r, x] = self.ranks(ids[r, x], ids[r, y])
+            sizes[own] = alive.sum(1)
+            found.append((own, ids[alive]))
+        for k in np.flatnonzero(lengths > 40).tolist():
+            ids = self.exact(words[k])
+            sizes[k] = len(ids)
+            found.append((np.array([k]), np.array(ids, np.int64)))
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int64)
+        for own, ids in found:
+            flat[places(starts[own], sizes[own])] = ids
+        return flat, sizes
+
     def propose(self, word: bytes) -> list[int]:
         """The longest entry at each place."""
-        get, n, at, out = self.vocab.get, len(word), 0, []
+        get, longest, n, at, out = self.vocab.get, self.longest.get, len(word), 0, []
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + longest(word[at : at + 2], 1)), at, -1):
                 token = get(word[at:end])
                 if token is not None:
                     out.append(token)
@@ -134,9 +197,7 @@ class Tokenizer:
         at, a, b = np.arange(len(left)), left.astype(np.int64), right.astype(np.int64)
         until_a, until_b = np.full(len(at), NEVER), np.full(len(at), NEVER)
         while len(at):
-            key = a << 32 | b
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[place] == key, self.key_ranks[place], NEVER)
+            rank = self.ranks(a, b)
             crossed = (rank < until_a) & (rank <= until_b) & (rank < NEVER)
             good[at[crossed]] = False
             rank_a, rank_b = self.rank[a], self.rank[b]
@@ -159,10 +220,14 @@ class Tokenizer:
         return Memory(self)
 
 
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of all, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start:start + size] of all, one after the other."""
-    total = int(sizes.sum())
-    return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(total)]
+    return values[places(starts, sizes)]
 
 
 class Memory:
@@ -186,12 +251,16 @@ class Memory:
         border = np.flatnonzero(word[1:] == word[:-1])
         pairs, which = np.unique(ids[border] << 32 | ids[border + 1], return_inverse=True)
         good = t.compatible(pairs >> 32, pairs & 0xFFFFFFFF)
-        failed = np.unique(word[border[~good[which]]]).tolist()
-        if failed:
-            for k in failed:
-                proposals[k] = t.exact(new[k].encode())
-            sizes = np.array([len(x) for x in proposals], np.int64)
-            ids = np.array([i for x in proposals for i in x], np.int64)
+        failed = np.unique(word[border[~good[which]]])
+        if len(failed):
+            passed, sizes = np.ones(len(new), bool), sizes.copy()
+            passed[failed] = False
+            mended, sizes[failed] = t.exact_many([new[k].encode() for k in failed.tolist()])
+            starts = np.cumsum(sizes) - sizes
+            flat = np.empty(int(sizes.sum()), np.int64)
+            flat[places(starts[passed], sizes[passed])] = ids[passed[word]]
+            flat[places(starts[failed], sizes[failed])] = mended
+            ids = flat
         self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, sizes])

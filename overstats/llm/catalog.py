@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from overstats.llm.bpe import op3_bpe
 from overstats.llm.decontaminate import op9_benchmark_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_bpe,
         op9_benchmark_decontamination,
     )
 }
