@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from overstats.llm.bpe import op3_bpe
 from overstats.llm.decontaminate import op9_benchmark_decontamination
+from overstats.llm.minhash import op1_minhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_minhash_near_dedup,
         op3_bpe,
         op9_benchmark_decontamination,
     )
