@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from overstats.llm import textbytes as tb
 
 #: Words of which a task keeps the ids; then it starts afresh.
-REMEMBER = 800_000
+REMEMBER = 250_000
 #: Largest tokenizer file that is sent to the tasks.
 FILE_BYTES = 64 << 20
 #: How byte-level BPE cuts a text into words (fixed value).
@@ -302,47 +302,54 @@ def _other(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
-    """``df`` plus the ids of its texts (array<int>). Null is the empty text: no ids. A column of that name is replaced."""
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``df`` plus the ids of its texts (array<int>), and with ``decoded_col`` the text decoded from these ids.
+
+    Null is the empty text: no ids. Columns of ``df`` named like the new ones are replaced.
+    """
     spec = df.sparkSession.sparkContext.broadcast(load(path))
-    kept = _other(df, ids_col, *() if keep_text else (text_col,))
+    kept = _other(df, ids_col, decoded_col, *() if keep_text else (text_col,))
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(ids_col))
-    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *[T.StructField(decoded_col, T.StringType())] * bool(decoded_col)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Tokenizer(spec.value).memory()
+        memory, data = Tokenizer(spec.value).memory(), flat_bytes(spec.value)
         for batch in batches:
             for low, high, _, _ in tb.blocks(batch.column(len(kept))):
                 part = batch.slice(low, high - low)
                 ids, counts = memory.encode(part.column(len(kept)).to_pylist())
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], names=part.schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists, *[decoded(lists, data) for _ in out.names[len(kept) + 1 :]]], names=out.names)
 
     return source.mapInArrow(run, out)
 
 
+def decoded(lists: pa.ListArray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """Texts of lists of ids; bytes that are no UTF-8 become U+FFFD."""
+    data, starts, sizes = table
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes[flat])]).astype(np.int64)[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    raw = gather(data, starts[flat], sizes[flat])
+    texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends), pa.py_buffer(raw))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.large_string())
+    return texts.cast(pa.string())
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` plus the text of its ids. Null ids are none; bytes that are no UTF-8 become U+FFFD; unknown ids fail."""
     spec = df.sparkSession.sparkContext.broadcast(load(path))
-    kept = _other(df, text_col)
-    source = df.select(*[F.col(f"`{c}`") for c in kept])
-    at = kept.index(ids_col)
+    source = df.select(*[F.col(f"`{c}`") for c in _other(df, text_col)])
+    at = source.columns.index(ids_col)
     out = T.StructType([*source.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, starts, sizes = flat_bytes(spec.value)
+        table = flat_bytes(spec.value)
         for batch in batches:
-            lists = batch.column(at)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            raw = gather(data, starts[flat], sizes[flat]) if len(flat) else np.zeros(0, np.uint8)
-            ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])] if len(flat) else np.zeros(len(lists) + 1, np.int64)
-            texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw))
-            try:
-                texts.validate(full=True)
-            except pa.ArrowInvalid:
-                texts = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])], pa.large_string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], names=[*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded(batch.column(at), table)], names=out.names)
 
     return source.mapInArrow(run, out)
 
@@ -366,9 +373,7 @@ def default_path() -> str:
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and digests of the ids and of the text decoded from them."""
-    path = path or default_path()
-    ids = encode(df.select("doc_id", "text"), path, keep_text=False)
-    both = decode(ids, path)
+    both = encode(df.select("doc_id", "text"), path or default_path(), decoded_col="decoded", keep_text=False)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
