@@ -29,6 +29,8 @@ from overstats.llm.store import forget, save
 
 TABLES, HALF = 10, 2
 THRESHOLD = 80
+#: Nodes whose buckets are folded together before they are shuffled.
+FOLD = 4000
 #: Bits of the filter that keeps texts out of a shuffle.
 BITS = 1 << 22
 _SEEDS = np.random.default_rng(71).integers(1, 2**63, (2, 2 * TABLES * HALF), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,8 +90,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         node = batch.column(0).to_numpy()
         halves = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, 2 * TABLES)
-        for low in range(0, len(node), 4000):
-            own, a, b = node[low : low + 2000], halves[low : low + 2000, :TABLES], halves[low : low + 2000, TABLES:]
+        for low in range(0, len(node), FOLD):
+            own, a, b = node[low : low + FOLD], halves[low : low + FOLD, :TABLES], halves[low : low + FOLD, TABLES:]
             key = tb.mix(a[:, :, None] * np.uint64(3) + b[:, None, :]).reshape(-1)
             member = np.repeat(own, TABLES * TABLES)
             order = np.argsort(key, kind="stable")  # nodes ascend within a key
