@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from overstats.llm.bpe import op3_bpe
 from overstats.llm.decontaminate import op9_benchmark_decontamination
+from overstats.llm.langid import op4_language_id
 from overstats.llm.linededup import op6_line_dedup
 from overstats.llm.minhash import op1_minhash_near_dedup
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup,
         op3_bpe,
+        op4_language_id,
         op6_line_dedup,
         op9_benchmark_decontamination,
     )
