@@ -8,8 +8,9 @@ tables from about the square root of the minhashes. Two sets of similarity s mee
 * Documents of the same set become one node first; a hot group of copies folds before the shuffle.
 * In a table, members of a bucket are paired with one of them, not with each other: within each Arrow batch first, so
   that a bucket reaches the shuffle as one row per batch, however many members it has.
-* Pairs are confirmed on the sets of whole texts. Only buckets whose members then still lie in several components
-  are looked at again, pairing members of different components, so that no link that could join components is lost.
+* Pairs are confirmed on the sets of whole texts. Buckets whose members then still lie in several components are
+  looked at again, members of different components being compared in blocks, so that no link that could join
+  components is lost. Members of a bucket's largest component are only compared with those outside it.
 * Components come from alternating stars over written tables.
 """
 
@@ -31,6 +32,8 @@ TABLES, HALF = 10, 2
 THRESHOLD = 80
 #: Nodes whose buckets are folded together before they are shuffled.
 FOLD = 4000
+#: Rows and shingles of a block of texts that are compared with those of another.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
 #: Bits of the filter that keeps texts out of a shuffle.
 BITS = 1 << 22
 _SEEDS = np.random.default_rng(71).integers(1, 2**63, (2, 2 * TABLES * HALF), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,6 +169,79 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return links
 
 
+def _blocks(n: str, size: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col(size) / BLOCK_SHINGLES)).cast("int")
+
+
+def _compared(family: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> DataFrame:
+    """Links (u, v) between members of different components of a family.
+
+    ``family``: center, node, component, largest (component), n_blocks, n_asking. The members outside the largest
+    component ask, in n_asking blocks; all members answer, in n_blocks. A task takes one block of each: no pairs are
+    emitted but the links found, of which it leaves out those that join nothing new.
+    """
+    family = save(family, "asked")
+    texts = save(_texts(nodes.join(family.select("node").distinct(), "node", "left_semi"), docs, id_col, text_col, width), "texts")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asks = family.where("component != largest").select("center", own("n_asking").alias("a"), every("n_blocks").alias("b"), "node", "component", F.lit(True).alias("asks"))
+    answers = family.select("center", every("n_asking").alias("a"), own("n_blocks").alias("b"), "node", "component", F.lit(False).alias("asks"))
+    dealt = asks.union(answers).join(texts, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        sets = [x for chunk in table.column("text").chunks for x in _sets(chunk, width)]
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        u, v = [], []
+        if len(mine) and len(theirs):
+            same = intersections([sets[k] for k in mine], [sets[k] for k in theirs])
+            size = np.array([len(x) for x in sets], np.int64)
+            near = 100 * same >= threshold * (size[mine][:, None] + size[theirs][None, :] - same)
+            near &= component[mine][:, None] != component[theirs][None, :]
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
+            for a, b in np.argwhere(near).tolist():
+                x, y = root(component[mine[a]]), root(component[theirs[b]])
+                if x != y:
+                    joined[x] = y
+                    u.append(node[mine[a]]), v.append(node[theirs[b]])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    links = save(dealt.groupBy("center", "a", "b").applyInArrow(run, "u long, v long"), "links")
+    forget(family, texts)
+    return links
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``, by products of presence matrices."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    shared = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float64)
+    places = []
+    for flat, row in ((flat_a, row_a), (flat_b, row_b)):
+        at = np.searchsorted(shared, flat)
+        at[at == len(shared)] = 0
+        has = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[has], kind="stable")
+        places.append((at[has][order], row[has][order]))
+    for low in range(0, len(shared), 4096):
+        parts = []
+        for (at, row), n in zip(places, (len(a), len(b))):
+            first, last = np.searchsorted(at, [low, low + 4096])
+            part = np.zeros((n, 4096), np.float32)
+            part[row[first:last], at[first:last] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, h1, h2, component_id (smallest id of its group), kept.
 
@@ -182,23 +258,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     center = alone.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     across = alone.join(center, "key").where("node != center").select("key", F.col("center").alias("u"), F.col("node").alias("v"))
     stars = save(starred.where("member is not null").select("key", F.col("node").alias("u"), F.col("member").alias("v")).union(across), "stars")
-    forget(starred)
     pairs = save(stars.select("u", "v").distinct(), "pairs")
     known = nodes.select("node", "id", "h1", "h2", "n_shingles")
     links = confirmed(pairs, known, docs, id_col, text_col, width, threshold)
     found = save(components(links), "components")
-    # Buckets whose members still lie apart: their pairs of different components, but those already compared.
-    label = found.withColumnRenamed("component", "c")
-    named = lambda df, x: df.join(label.withColumnsRenamed({"node": x, "c": f"c_{x}"}), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
-    apart = named(named(pairs, "u"), "v").where("c_u != c_v")
-    opened = stars.join(apart.select("u", "v"), ["u", "v"], "left_semi").select("key").distinct()
-    edges = stars.join(opened, "key", "left_semi")
-    members = save(named(edges.select("key", "u").union(edges.select("key", "v")).distinct(), "u"), "open")
-    others = members.select("key", F.col("u").alias("v"), F.col("c_u").alias("c_v"))
-    left = members.join(others, "key").where("c_u != c_v and u < v").select("u", "v").distinct()
-    left = left.join(pairs, ["u", "v"], "left_anti")
-    more = confirmed(left, known, docs, id_col, text_col, width, threshold)
-    forget(stars, pairs, members)
+    # Buckets whose members still lie apart, by their center: members of different components are compared in blocks.
+    crowded = stars.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    bucket = stars.join(crowded, "key", "left_semi").join(center.select("key", "center"), "key", "left").withColumn("center", F.coalesce("center", "u"))
+    family = save(bucket.select("center", F.col("v").alias("node")).union(bucket.select("center", "u")).distinct()
+                  .join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+                  .join(known.select("node", "n_shingles"), "node"), "families")
+    sides = save(family.groupBy("center", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")), "sides")
+    opened = sides.groupBy("center").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("sides")).where("sides > 1")
+    asking = sides.join(opened.select("center", "largest"), "center").where("component != largest").groupBy("center").agg(F.sum("n").alias("n_asking"), F.sum("size").alias("size_asking"))
+    blocks = opened.join(asking, "center").select("center", "largest", _blocks("n", "size").alias("n_blocks"), _blocks("n_asking", "size_asking").alias("n_asking"))
+    more = _compared(family.drop("n_shingles").join(blocks, "center"), known, docs, id_col, text_col, width, threshold)
+    forget(starred, stars, pairs, family, sides)
     if not more.isEmpty():
         found = save(components(links.union(more)), "components")
     smallest = known.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "h1", "h2", "id")
