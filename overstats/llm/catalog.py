@@ -13,6 +13,7 @@ from overstats.llm.langid import op4_language_id
 from overstats.llm.linededup import op6_line_dedup
 from overstats.llm.minhash import op1_minhash_near_dedup
 from overstats.llm.quality import op5_quality
+from overstats.llm.search import op8_topk_search
 from overstats.llm.secrets import op7_secret_scan
 from overstats.llm.toxicity import op2_toxicity
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_quality,
         op6_line_dedup,
         op7_secret_scan,
+        op8_topk_search,
         op9_benchmark_decontamination,
         op10_chat_format,
     )

@@ -81,20 +81,19 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
     return fit(sample["text"], sample["lang"]) if sample["text"] else None
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text") -> DataFrame:
-    """``docs`` plus lang_pred and score (0 to 1); columns of these names are replaced.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text", new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` plus the language and its score (0 to 1), named ``new``; columns of these names are replaced.
 
     Null texts and texts without a letter are ``UNKNOWN`` with score 0, and so are all without a model.
     """
-    new = ("lang_pred", "score")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     if model is None:
-        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, F.lit(UNKNOWN).alias(new[0]), F.lit(0.0).alias(new[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     source = docs.select(*kept, F.when(lettered, F.col(f"`{text_col}`").cast("string")).alias("_llm_text"))
     at = len(kept)
-    out = source.drop("_llm_text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    out = source.drop("_llm_text").withColumns({new[0]: F.lit("").cast("string"), new[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
