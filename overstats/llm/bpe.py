@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overstats.llm import textbytes as tb
+from overstats.llm.store import map_batches
 
 #: Words of which a task keeps the ids; then it starts afresh.
 REMEMBER = 250_000
@@ -310,7 +311,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     spec = df.sparkSession.sparkContext.broadcast(load(path))
     kept = _other(df, ids_col, decoded_col, *() if keep_text else (text_col,))
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(ids_col))
-    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *[T.StructField(decoded_col, T.StringType())] * bool(decoded_col)])
+    out = T.StructType([*source.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, data = Tokenizer(spec.value).memory(), flat_bytes(spec.value)
@@ -321,7 +322,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists, *[decoded(lists, data) for _ in out.names[len(kept) + 1 :]]], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)
 
 
 def decoded(lists: pa.ListArray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
@@ -351,7 +352,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded(batch.column(at), table)], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)
 
 
 def flat_bytes(spec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

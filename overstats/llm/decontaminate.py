@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overstats.llm import textbytes as tb
-from overstats.llm.store import save
+from overstats.llm.store import map_batches, save
 
 WINDOW = 10
 #: Text of benchmark items sent to each task at a time.
@@ -97,7 +97,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(step):
         key <<= bits
-        key[: n - k] |= rank[k:]
+        key[: max(0, n - k)] |= rank[k:]
     order = np.argsort(key)
     key = key[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -229,7 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     out = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
     for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window)):
         df = save(df, "phrases") if k else df
-        df = df.drop("n_words", "n_hit").mapInArrow(_marked(phrases), out)
+        df = map_batches(df.drop("n_words", "n_hit"), _marked(phrases), out)
     return df.drop("_llm_text")
 
 
@@ -291,7 +291,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     out = docs.schema
     for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window)):
         docs = save(docs, "phrases") if k else docs
-        docs = docs.mapInArrow(_cut(phrases, text_col), out)
+        docs = map_batches(docs, _cut(phrases, text_col), out)
     return docs
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overstats.llm import textbytes as tb
+from overstats.llm.store import map_batches
 
 SAMPLE, SAMPLE_BYTES, LANDMARKS = 1200, 20_000, 240
 LONGEST, BUCKETS, RIDGE = 4, 1 << 16, 1e-3
@@ -90,28 +91,28 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_co
     if model is None:
         return docs.select(*kept, F.lit(UNKNOWN).alias(new[0]), F.lit(0.0).alias(new[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    lettered = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*kept, F.when(lettered, F.col(f"`{text_col}`").cast("string")).alias("_llm_text"))
-    at = len(kept)
-    out = source.drop("_llm_text").withColumns({new[0]: F.lit("").cast("string"), new[1]: F.lit(0.0)}).schema
+    name = "_llm_lettered"
+    source = docs.select(*kept, F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False)).alias(name))
+    at, text_at = len(kept), source.columns.index(text_col)
+    out = source.drop(name).withColumns({new[0]: F.lit("").cast("string"), new[1]: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
         names = np.array(names, object)
         for batch in batches:
-            lettered = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
             label, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            for low, high, data, offsets in tb.blocks(batch.column(at)):
-                for first in range(low, high, 64):
-                    last = min(high, first + 64)
+            for low, high, data, offsets in tb.blocks(batch.column(text_at)):
+                for first in range(low, high, 32):
+                    last = min(high, first + 32)
                     x = presence(data, offsets[first - low : last - low + 1])
                     y = x.astype(np.float32) @ matrix / np.sqrt(np.maximum(np.count_nonzero(x, axis=1), 1))[:, None]
                     label[first:last], score[first:last] = names[y.argmax(1)], y.max(1)
-            label[~lettered], score[~lettered] = UNKNOWN, 0
+            none = ~batch.column(at).to_numpy(zero_copy_only=False)
+            label[none], score[none] = UNKNOWN, 0
             columns = [*batch.columns[:at], pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)
 
 
 def fold(id_col: str, n: int) -> F.Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overstats.llm import textbytes as tb
-from overstats.llm.store import forget, save
+from overstats.llm.store import forget, map_batches, save
 
 MIN_WORDS = 50
 PLACE = ["k0", "k1", "pos"]
@@ -70,7 +70,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFr
                 numbers = [pa.array(x[keep].astype(np.int32)) for x in (at - begin, line, ahead, back)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *numbers, pa.array(content[keep].view(np.int64))], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)
 
 
 def _ranks(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -85,7 +85,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = save(lines(docs, id_col, text_col, min_words), "lines")
     active = every.join(_ranks(every, "rank", "content"), "content").drop("content")
     counted = save(active.groupBy(*PLACE, "id", "line", "ahead", "back", "rank").agg(F.count("*").alias("n")), "active")
-    again = counted.where("n > 1").select("k0", "k1").distinct()
+    again = save(counted.where("n > 1").select("k0", "k1").distinct(), "again")
     ahead = counted.where("ahead > 0").select(*PLACE, "id", F.col("ahead").alias("length"))
     back = counted.where("back > 0").select("k0", "k1", (F.col("pos") - F.col("back") + 1).alias("pos"), "id", F.col("back").alias("length"))
     stretches = save(ahead.union(back).distinct(), "stretches")
@@ -123,15 +123,17 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null, empty and short texts stay as they are, and so do documents without later copies. Rows that repeat in id and
     text are one document: of enough words, one row stays. The columns are those of ``docs``.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    inner = docs.select(F.struct(*columns).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    inner = docs.select(F.struct(F.lit(None).cast("int").alias("none"), *others).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     gone, again = repeated_lines(docs, id_col, text_col, min_words)
-    keyed = _keys(inner, "id", "text").join(gone, ["k0", "k1"], "left").join(again.withColumn("again", F.lit(True)), ["k0", "k1"], "left")
+    keyed = _keys(inner, "id", "text").drop("id").join(gone, ["k0", "k1"], "left")
     left = F.filter(F.split("text", "\n", -1), lambda line, number: ~F.array_contains("lines", number))
     cut = keyed.withColumn("text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     cut = cut.where(F.col("lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    kept = cut.where("again is null").select("doc", "text").union(cut.where("again").dropDuplicates(["k0", "k1"]).select("doc", "text"))
-    return kept.select(*[(F.col("text").cast(docs.schema[c].dataType) if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    if not again.isEmpty():  # rows that repeat meet again; all others go straight on
+        again = again.withColumn("again", F.lit(True))
+        cut = cut.join(again, ["k0", "k1"], "left_anti").unionByName(cut.join(again, ["k0", "k1"], "left_semi").dropDuplicates(["k0", "k1"]))
+    return cut.select(*[(F.col("text").cast(docs.schema[c].dataType) if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

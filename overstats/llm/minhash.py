@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from overstats.llm import textbytes as tb
 from overstats.llm.components import components
-from overstats.llm.store import forget, save
+from overstats.llm.store import forget, map_batches, save
 
 TABLES, HALF = 10, 2
 THRESHOLD = 80
@@ -85,23 +85,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                         halves[k] = row
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, digests(sets)), pa.array(halves, pa.list_(pa.int64()))], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of nodes: (key, node, member); member is null in the one row of a key that goes on."""
+    """Of some thousands of nodes at a time: (key, node, member); member is null in the one row of a key that goes on."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        node = batch.column(0).to_numpy()
-        halves = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, 2 * TABLES)
-        for low in range(0, len(node), FOLD):
-            own, a, b = node[low : low + FOLD], halves[low : low + FOLD, :TABLES], halves[low : low + FOLD, TABLES:]
-            key = tb.mix(a[:, :, None] * np.uint64(3) + b[:, None, :]).reshape(-1)
-            member = np.repeat(own, TABLES * TABLES)
-            order = np.argsort(key, kind="stable")  # nodes ascend within a key
-            key, member = key[order], member[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            center = member[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(center), pa.array(member, mask=first)], names=["key", "node", "member"])
+        waiting.append(batch)
+        if sum(x.num_rows for x in waiting) >= FOLD:
+            yield _star(waiting)
+            waiting = []
+    if waiting:
+        yield _star(waiting)
+
+
+def _star(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    node = np.concatenate([x.column(0).to_numpy() for x in batches])
+    halves = np.concatenate([x.column(1).flatten().to_numpy() for x in batches]).view(np.uint64).reshape(-1, 2 * TABLES)
+    key = tb.mix(halves[:, :TABLES, None] * np.uint64(3) + halves[:, None, TABLES:]).reshape(-1)
+    member = np.repeat(node, TABLES * TABLES)
+    order = np.lexsort((member, key))
+    key, member = key[order], member[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    center = member[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(center), pa.array(member, mask=first)], names=["key", "node", "member"])
 
 
 def _confirm(width: int, threshold: int):
@@ -149,7 +157,7 @@ def _texts(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
                 rows = batch.slice(low, high - low).filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(h1[keep]), pa.array(h2[keep])], names=["id_hash", "text", "h1", "h2"])
 
-    found = source.mapInArrow(run, "id_hash long, text string, h1 long, h2 long")
+    found = map_batches(source, run, "id_hash long, text string, h1 long, h2 long")
     keys = ["h1", "h2", "id_hash"]
     return found.join(nodes.select("node", "h1", "h2", F.xxhash64("id").alias("id_hash")), keys).dropDuplicates(keys).select("node", "text")
 
@@ -164,7 +172,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     texts = save(_texts(nodes.join(asked, "node", "left_semi"), docs, id_col, text_col, width), "texts")
     both = (near.join(texts.withColumnsRenamed({"node": "v", "text": "text_v"}), "v")
             .join(texts.withColumnsRenamed({"node": "u", "text": "text_u"}), "u").select("u", "v", "text_u", "text_v"))
-    links = save(both.mapInArrow(_confirm(width, threshold), "u long, v long"), "links")
+    links = save(map_batches(both, _confirm(width, threshold), "u long, v long"), "links")
     forget(near, texts)
     return links
 
@@ -253,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = save(signatures(docs, id_col, text_col, width), "signatures")
     folded = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
     nodes = save(folded.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-    starred = save(nodes.select("node", "halves").mapInArrow(_stars, "key long, node long, member long"), "tables")
+    starred = save(map_batches(nodes.select("node", "halves"), _stars, "key long, node long, member long"), "tables")
     alone = starred.where("member is null")
     center = alone.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     across = alone.join(center, "key").where("node != center").select("key", F.col("center").alias("u"), F.col("node").alias("v"))
@@ -291,6 +299,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col, text_col, width, threshold)
     stay = found.where("kept and n_shingles > 0").groupBy(F.xxhash64(id_col).alias("_k0"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2")).agg(F.count("*").alias("_n"))
+    stay = save(stay, "stay")
     schema = T.StructType([*docs.schema.fields, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("_w", T.LongType())])
     at = docs.columns.index(text_col)
 
@@ -300,12 +309,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sets = list(shingle_sets(data, offsets, width))
                 yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, *map(pa.array, digests(sets)), pa.array([len(x) for x in sets], pa.int64())], names=[*batch.schema.names, "_k1", "_k2", "_w"])
 
-    marked = docs.mapInArrow(run, schema).withColumn("_k0", F.xxhash64(F.col(f"`{id_col}`")))
+    marked = map_batches(docs, run, schema).withColumn("_k0", F.xxhash64(F.col(f"`{id_col}`")))
     keys = ["_k0", "_k1", "_k2"]
     kept = marked.join(stay, keys, "left").where("_w = 0 or _n is not null")
-    once = kept.where("_w = 0 or _n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.where("_w > 0 and _n > 1").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once.unionByName(repeated)
+    if not stay.where("_n > 1").isEmpty():  # rows that repeat meet again; all others go straight on
+        kept = kept.where("_w = 0 or _n = 1").unionByName(kept.where("_w > 0 and _n > 1").dropDuplicates(keys))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+#: Rows of an Arrow batch at most, here: whole texts are long, and both the JVM and Python hold batches of them.
+BATCH_ROWS = 1000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of at most ``BATCH_ROWS`` rows, which is set on the session if it allows more."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overstats.llm import textbytes as tb
+from overstats.llm.store import map_batches
 
 BITS, DIM = 18, 12
 BUCKETS = 1 << BITS
@@ -209,5 +210,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, kind: Feature
                     logit[low + k] += mean(numbers, ids, kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(1 / (1 + np.exp(-np.clip(logit, -50, 50))))], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return map_batches(source, run, out)
 
