@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overstats.sources.tables import GROUNDS, TEAMS, TYPE_CODES, Tables
+from overstats.sources.tables import APART, GROUNDS, TEAMS, TYPE_CODES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -366,15 +366,17 @@ LEFT JOIN (SELECT person_id, format_key, COUNT(*) AS matches FROM nm{x} GROUP BY
 
 
 def _cut(x: str) -> str:
-    """Balls kept for the win model: within 120 legal balls, ten wickets, the target."""
+    """Every ball in an innings within 120 legal balls, ten wickets and the target; the rest goes on as innings apart."""
+    before = "COALESCE(SUM({}) OVER (PARTITION BY match_id, innings ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)".format
+    legal = before("CASE WHEN is_legal THEN 1 ELSE 0 END")
     return f"""
-SELECT k.* REPLACE (CASE WHEN innings = 2 THEN CAST(t1 AS BIGINT) + 1 END AS target) FROM (
- SELECT z.*, SUM(CASE WHEN innings = 1 AND legal_before < 120 AND wickets_before < 10 THEN runs_total ELSE 0 END)
-   OVER (PARTITION BY match_id) AS t1 FROM (
-  SELECT d.*, COALESCE(SUM(CASE WHEN is_legal THEN 1 ELSE 0 END) OVER w, 0) AS legal_before,
-   COALESCE(SUM(team_wickets) OVER w, 0) AS wickets_before, COALESCE(SUM(runs_total) OVER w, 0) AS score_before
-  FROM d{x} d WINDOW w AS (PARTITION BY match_id, innings ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) z) k
-WHERE legal_before < 120 AND wickets_before < 10 AND (innings = 1 OR score_before < t1 + 1)"""
+SELECT o.* EXCLUDE (part), {legal} AS legal_before, {before('team_wickets')} AS wickets_before, {before('runs_total')} AS score_before FROM (
+ SELECT n.* REPLACE (CAST(FLOOR({legal} / 6) AS BIGINT) AS over_no) FROM (
+  SELECT q.* EXCLUDE (t1, score_all) REPLACE (CASE WHEN part >= 2 THEN match_id + part * {APART} ELSE match_id END AS match_id,
+   CASE WHEN part >= 2 THEN 1 ELSE innings END AS innings, CASE WHEN part < 2 AND innings = 2 THEN CAST(t1 AS BIGINT) + 1 END AS target) FROM (
+   SELECT k.* REPLACE (CAST(2 * (2 * part + CASE WHEN innings = 2 AND score_all >= t1 + 1 THEN 1 ELSE 0 END) + innings - 1 AS BIGINT) AS part) FROM (
+    SELECT z.*, SUM(CASE WHEN innings = 1 AND part = 0 THEN runs_total ELSE 0 END) OVER (PARTITION BY match_id) AS t1 FROM (
+     SELECT d.*, FLOOR({legal} / 120) + FLOOR({before('team_wickets')} / 10) AS part, {before('runs_total')} AS score_all FROM d{x} d) z) k) q) n) o"""
 
 
 def _trace(x: str) -> str:

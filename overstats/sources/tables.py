@@ -33,6 +33,9 @@ GROUNDS = (
     ("Hagley Oval", "Christchurch", "Hagley Oval", "New Zealand"),
     ("Maple Leaf Ground", "", "Maple Leaf Ground", ""),
 )
+#: Distance between the numbers of a match and of those split from it: a
+#: multiple of everything that match facts are counted by, so these stay.
+APART = 2520 * 11 * 17 * 19 * 23 << 20
 TYPE_CODES = ("rf", "rfm", "rm", "lf", "lfm", "lm", "ob", "lb", "sla", "")
 
 
@@ -222,32 +225,45 @@ class Tables:
 
     @cached_property
     def limited(self) -> DataFrame:
-        """:meth:`cut`, written once: the model reads it several times."""
-        return materialise(self.cut(), "limited")
+        """:meth:`legal`, written once: the model reads it several times."""
+        return materialise(self.legal(), "limited")
 
-    def cut(self) -> DataFrame:
-        """Innings cut where a limited-overs innings ends.
+    def legal(self) -> DataFrame:
+        """Every ball in an innings of at most 120 legal balls and ten wickets, ended by its target.
 
-        At most 120 legal balls and ten wickets, and no ball after the target.
+        Where a limit is reached the rest becomes an innings of a match of its
+        own, with the same teams, ground and day: no ball is left out.
         """
         c = F.col
-        order = Window.partitionBy("match_id", "innings").orderBy("seq").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
+        innings = Window.partitionBy("match_id", "innings")
+        order = innings.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         before = lambda v: F.coalesce(F.sum(v).over(order), F.lit(0))
+        legal = F.when(c("is_legal"), 1).otherwise(0)
         rows = self.deliveries.withColumns(
             {
-                "_legal": before(F.when(c("is_legal"), 1).otherwise(0)),
-                "_down": before(c("team_wickets")),
+                "_part": (F.floor(before(legal) / 120) + F.floor(before(c("team_wickets")) / 10)),
                 "_score": before(c("runs_total")),
             }
-        ).where((c("_legal") < 120) & (c("_down") < 10))
-        first = F.sum(F.when(c("innings") == 1, c("runs_total")).otherwise(0)).over(
+        )
+        first = F.sum(F.when((c("innings") == 1) & (c("_part") == 0), c("runs_total")).otherwise(0)).over(
             Window.partitionBy("match_id")
         )
-        return rows.withColumn("target", F.when(c("innings") == 2, first + 1)).where(
-            (c("innings") == 1) | (c("_score") < c("target"))
-        ).drop("_legal", "_down", "_score")
+        rows = rows.withColumn("target", F.when(c("innings") == 2, first + 1))
+        chased = F.when(c("_score") >= c("target"), 1).otherwise(0)
+        rows = rows.withColumn("_part", 2 * (2 * c("_part") + chased) + c("innings") - 1)
+        apart = c("_part") >= 2
+        rows = rows.withColumns(
+            {
+                "match_id": c("match_id") + F.when(apart, c("_part") * F.lit(APART)).otherwise(F.lit(0)),
+                "innings": F.when(apart, F.lit(1)).otherwise(c("innings")),
+                "played_no": F.when(apart, F.lit(1)).otherwise(c("innings")),
+                "target": F.when(~apart, c("target")),
+                "chasing": ~apart & (c("innings") == 2),
+            }
+        ).drop("_part", "_score")
+        rows = rows.withColumn("over", F.floor(before(legal) / 6).cast("int"))
+        number = F.row_number().over(Window.partitionBy("match_id", "innings", "over").orderBy("seq"))
+        return rows.withColumns({"ball_in_over": number, "phase": flags.phase_of(c("fmt"), c("over"))})
 
     def headers(self, mixed: bool = False, rows: DataFrame | None = None) -> DataFrame:
         """Match facts as a document header would state them."""
