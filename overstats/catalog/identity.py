@@ -123,7 +123,7 @@ def unresolved_metadata(t):
 
 def _bridge_register(t):
     k = F.col("c_custkey")
-    return t.table("customer").where(k % 3 == 0).select(
+    return t.table("customer").select(
         F.concat(F.lit("n"), (k % 331).cast("string")).alias("person_id"),
         F.concat(F.lit("y"), k.cast("string")).alias("external_id"))
 
@@ -139,7 +139,7 @@ def _claims(t):
 
 BRIDGE = {
     "reg": """SELECT DISTINCT 'n' || CAST(c_custkey % 331 AS VARCHAR) AS person_id, 'y' || CAST(c_custkey AS VARCHAR) AS external_id
-      FROM customer WHERE c_custkey % 3 = 0""",
+      FROM customer""",
     "clm": """SELECT 'y' || CAST(o_orderkey % 1200 AS VARCHAR) AS external_id, 'Q' || CAST(CASE WHEN o_orderkey % 1200 % 5 = 0 THEN o_orderkey % 30
    ELSE o_orderkey % 1200 % 700 END AS VARCHAR) AS item, CASE WHEN o_orderkey % 2 = 0 THEN 'image' || CAST(o_orderkey % 11 AS VARCHAR) END AS image FROM orders""",
     "ids": "SELECT external_id, COUNT(DISTINCT item) AS items, MIN(item) AS item, MIN(image) AS image FROM clm GROUP BY 1",

@@ -101,13 +101,14 @@ def shrinkage(t):
                        rates.confidence(c("n"), F.lit(1000)).alias("confidence"))
 
 
-@query(sql("""SELECT match_id, innings, seq, kind1 AS kind, CASE WHEN kind1 NOT IN ('caught', 'bowled', 'lbw') THEN kind1
- WHEN kind1 = 'bowled' THEN 'b Player ' || SUBSTR(bowler_id, 2) ELSE kind1 || ' b Player ' || SUBSTR(bowler_id, 2) END AS label
-FROM d WHERE kind1 IS NOT NULL""", "d"))
+@query(sql("""SELECT match_id, innings, seq, wicket, kind, CASE WHEN kind NOT IN ('caught', 'bowled', 'lbw') THEN kind
+ WHEN kind = 'bowled' THEN 'b Player ' || SUBSTR(bowler_id, 2) ELSE kind || ' b Player ' || SUBSTR(bowler_id, 2) END AS label
+FROM (SELECT match_id, innings, seq, bowler_id, CAST(0 AS BIGINT) AS wicket, kind1 AS kind FROM d UNION ALL
+ SELECT match_id, innings, seq, bowler_id, CAST(1 AS BIGINT), kind2 FROM d) WHERE kind IS NOT NULL""", "d"))
 def dismissal_labels(t):
-    kind = F.get("wickets", F.lit(0))["kind"]
-    return t.deliveries.where(F.size("wickets") > 0).select(
-        "match_id", "innings", "seq", kind.alias("kind"),
+    kind = F.col("out.kind")
+    return t.deliveries.select("match_id", "innings", "seq", "bowler", F.posexplode("wickets").alias("wicket", "out")).select(
+        "match_id", "innings", "seq", F.col("wicket").cast("bigint").alias("wicket"), kind.alias("kind"),
         text.dismissal_label(kind, F.col("bowler")).alias("label"))
 
 

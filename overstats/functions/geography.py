@@ -25,9 +25,11 @@ def normal_city(ground: Column, city: Column) -> Column:
 
 def home_countries(team: Column) -> Column:
     """Countries a team calls home, null for a team without one."""
-    expr = F.when(team.isin(*C.TEAMS_AT_HOME_IN_OWN_NAME), F.array(team))
+    own = [name for name, homes in C.TEAM_HOMES.items() if homes == (name,)]
+    expr = F.when(team.isin(*own), F.array(team))
     for name, homes in C.TEAM_HOMES.items():
-        expr = expr.when(team == name, F.array(*[F.lit(h) for h in homes]))
+        if homes != (name,):
+            expr = expr.when(team == name, F.array(*[F.lit(h) for h in homes]))
     return expr
 
 
@@ -67,12 +69,13 @@ def with_country(df: DataFrame, places: DataFrame, venue: str = "venue", city: s
     ``places`` (ground, city, country) holds exact rules; a blank ground or
     city means the rule does not depend on it. It is a parameter so that a
     user brings their own gazetteer; joins are left to adaptive planning.
+    Rules that repeat count once; of two countries the first by name is taken.
     """
     rules = places.select(
         F.coalesce("ground", F.lit("")).alias("ground"),
         F.coalesce("city", F.lit("")).alias("rule_city"),
         F.col("country").alias("found"),
-    )
+    ).groupBy("ground", "rule_city").agg(F.min("found").alias("found"))
     both = rules.where("ground <> '' AND rule_city <> ''")
     ground_only = rules.where("ground <> '' AND rule_city = ''").drop("rule_city")
     city_only = rules.where("ground = ''").drop("ground")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overstats import config as C
+from overstats.session import materialise
 
 
 def row_hash(df: DataFrame, exclude: Sequence[str] = ()) -> Column:
@@ -106,6 +107,7 @@ def publish(spark: SparkSession, root: str, new: DataFrame, keys: Sequence[str],
         new = new.where(scope)
     else:
         inside, outside = base, base.limit(0)
+    new = materialise(new, "publish")  # what is counted is what gets written
     counts = change_counts(change_set(inside, new, keys), name)
     rows = counts.collect()
     if old is not None and not any(r["n"] for r in rows if r["status"] != "unchanged"):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices a group is cut into when its values are ranked.
+#: Slices a group is cut into at least when its values are ranked.
 SLICES = 64
 
 
@@ -35,9 +35,10 @@ def pool_ranks(values: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     member = F.lit(1) if pool is None else F.when(F.col(pool), 1)
     counted = values.groupBy(*keys, value).agg(F.count(member).alias("ties"))
-    marks = [i / SLICES for i in range(1, SLICES)]
+    slices = max(SLICES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = [i / slices for i in range(1, slices)]
     cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, marks, F.lit(1000)).alias("_cuts")
+        F.percentile_approx(value, marks, F.lit(16 * slices)).alias("_cuts")
     )
     sliced = counted.join(cuts, keys).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda x: x < F.col(value)))
@@ -112,8 +113,9 @@ def dedupe_largest(df: DataFrame, key: str, size: str, position: str) -> DataFra
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 50) -> DataFrame:
     """One page of an ordered listing."""
-    size = min(max(size, 1), 100)
-    return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    if number < 1 or size < 1:
+        raise ValueError("pages and their sizes begin at 1")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
 def page_numbers(total: int, number: int, size: int) -> dict[str, int | bool | None]:

@@ -305,29 +305,26 @@ def model_table(table: DataFrame, spread: DataFrame, theta: dict,
     """Everything scoring needs in one row per model.
 
     ``rounded`` keeps the digits a published model has, so that whoever loads
-    it scores exactly alike.
+    it scores exactly alike. Everything is worked out in full digits and
+    rounded once, at the end.
     """
     c = F.col
-    keep = (lambda col, n: F.round(col, n)) if rounded else (lambda col, n: col)
     curves = table.groupBy(*MODEL, "max_balls", "w").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("u", "resource"))),
-                    lambda x: keep(x["resource"], 3)).alias("_row")
+                    lambda x: x["resource"]).alias("_row")
     ).groupBy(*MODEL, "max_balls").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("w", "_row"))),
                     lambda x: x["_row"]).alias("resources")
     )
     spreads = spread.groupBy(*MODEL).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("w", "dispersion"))),
-                    lambda x: keep(x["dispersion"], 4)).alias("dispersion")
+                    lambda x: x["dispersion"]).alias("dispersion")
     )
-    spark = table.sparkSession
-    digits = 6 if rounded else None
-    weights = spark.createDataFrame(
-        [(k[0], k[1], [round(float(v), digits) if digits else float(v) for v in t])
-         for k, t in sorted(theta.items())],
+    weights = table.sparkSession.createDataFrame(
+        [(k[0], k[1], [float(v) for v in t]) for k, t in sorted(theta.items())],
         "format_key string, candidate int, theta array<double>",
     )
-    model = curves.join(spreads, list(MODEL)).join(F.broadcast(weights), list(MODEL))
+    model = curves.join(spreads, list(MODEL)).join(weights, list(MODEL))
     totals = F.sequence(F.lit(1), F.lit(max_total + 1))
     full = c("max_balls").cast("int")
     top = F.get(F.get("resources", F.lit(0)), full)
@@ -336,9 +333,17 @@ def model_table(table: DataFrame, spread: DataFrame, theta: dict,
         xs = chase_features(full, F.lit(0), need, top, full)
         dot = sum((F.get("theta", F.lit(i)) * xs[i] for i in range(1, 5)),
                   F.get("theta", F.lit(0)) * xs[0])
-        return keep(F.lit(1.0) - sigmoid(dot), 5)
-
-    return model.withColumn("first_innings_win", F.transform(totals, win))
+        return F.lit(1.0) - sigmoid(dot)
+
+    model = model.withColumn("first_innings_win", F.transform(totals, win))
+    if not rounded:
+        return model
+    digits = lambda name, n: F.transform(name, lambda x: F.round(x, n))
+    return model.withColumns({
+        "resources": F.transform("resources", lambda row: F.transform(row, lambda x: F.round(x, 3))),
+        "dispersion": digits("dispersion", 4), "theta": digits("theta", 6),
+        "first_innings_win": digits("first_innings_win", 5),
+    })
 
 
 def expected(u: Column, w: Column) -> Column:

@@ -119,12 +119,20 @@ def plan(documents: DataFrame, places: DataFrame, people: DataFrame,
 
 def write(spark: SparkSession, build: Build, root: str, scope_keys: list[str] | None = None
           ) -> dict[str, DataFrame]:
-    """Publish every table, optionally only some format keys; returns the changes."""
+    """Publish every table, optionally only some format keys; returns the changes.
+
+    A partial build knows only some rows of a table without format key: there
+    it adds and replaces, and whatever it doesn't have stays.
+    """
     out = {}
     for name, df in build.tables.items():
         scope = None
         if scope_keys is not None and "format_key" in df.columns:
             scope = F.col("format_key").isin(*scope_keys)
+        elif scope_keys is not None:
+            old = publish.read_snapshot(spark, f"{root}/{name}")
+            if old is not None:
+                df = df.unionByName(old.join(df.select(*KEYS[name]), list(KEYS[name]), "left_anti"))
         out[name] = publish.publish(spark, f"{root}/{name}", df, KEYS[name], scope)
     return out
 

@@ -52,6 +52,11 @@ def test_parameters_are_validated():
         "format": "odi", "gender": "female", "page": 3, "role": "bowler"}
     assert read.format_keys("female", None) == ["test-w", "odi-w", "t20i-w"]
     assert read.format_keys() is None
-    a = {"label": "A", "gender": "male", "formats": ["odi"]}
-    b = {"label": "B", "gender": "male", "formats": ["t20i"]}
-    assert "No ODI data for this pairing: B has no ODI" in read.plan_problem(a, b, "odi")
+
+
+def test_pairs_that_cannot_be_planned_for(spark):
+    team = "struct<label:string,gender:string,formats:array<string>>"
+    a, b, c = ("A", "male", ["odi"]), ("B", "male", ["t20i"]), ("C", "female", ["odi"])
+    pairs = spark.createDataFrame([(1, a, b), (2, a, a), (3, a, c), (4, a, None), (5, a, ("D", "male", ["odi"]))], f"n int, x {team}, y {team}")
+    got = [r.why for r in pairs.select("n", read.pair_obstacle("x", "y", "odi").alias("why")).orderBy("n").collect()]
+    assert got == ["no odi matches of B", "one team twice", "teams of different genders", "unknown team", None]

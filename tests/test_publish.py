@@ -93,3 +93,15 @@ def test_metadata_by_id_then_unique_name_and_country(spark):
     assert {r.person_id: r.via for r in good.collect()} == {"p3": "name", "p4": "id"}
     assert {r.person_id: r.reasons for r in bad.collect()} == {
         "p1": ["ambiguous_name"], "p2": ["ambiguous_name"], "p5": ["duplicate_rows"]}
+
+
+def test_a_partial_build_keeps_rows_it_does_not_have(spark, tmp_path):
+    from overstats.plans import build
+
+    names = lambda *rows: spark.createDataFrame(rows, "person_id string, name string")
+    root, key = str(tmp_path / "partial"), build.KEYS["names"]
+    assert list(key) == ["person_id"]
+    build.write(spark, build.Build({"names": names(("a", "Ann"), ("b", "Bo"))}, None), root)
+    build.write(spark, build.Build({"names": names(("b", "Bob"), ("c", "Cy"))}, None), root, ["odi-m"])
+    got = publish.read_snapshot(spark, f"{root}/names").collect()
+    assert {(r.person_id, r.name) for r in got} == {("a", "Ann"), ("b", "Bob"), ("c", "Cy")}
