@@ -33,13 +33,35 @@ innings ARRAY<STRUCT<
 """
 
 
+def match_id_of(file_name: Column) -> Column:
+    """A match's id is its file's name up to the first dot: 123.json, and 123.r2.json for a revision."""
+    return F.substring_index(file_name, ".", 1)
+
+
+def with_format(documents: DataFrame) -> DataFrame:
+    """Gender and format key of each document."""
+    gender = F.coalesce("info.gender", F.lit("male"))
+    return documents.withColumns({"gender": gender, "format_key": text.format_key(F.col("fmt"), gender)})
+
+
+def latest_revision(documents: DataFrame) -> DataFrame:
+    """The newest file of each match.
+
+    The document travels through a keyed maximum, which keeps one per match
+    in each task before the shuffle.
+    """
+    rest = [c for c in documents.columns if c != "match_id"]
+    newest = F.max_by(F.struct(*rest), F.struct("modified_at", "file_name"))
+    return documents.groupBy("match_id").agg(newest.alias("_d")).select("match_id", "_d.*")
+
+
 def read_documents(spark: SparkSession, path: str, fmt: str | None = None,
                    gender: str | Iterable[str] | None = None,
                    limit: int | None = None) -> DataFrame:
-    """One row per readable match file, with its id taken from the file name.
+    """One row per match: its newest readable file, with the id taken from the file name.
 
     ``fmt`` is needed unless the folder is partitioned by ``fmt``. ``limit``
-    counts matches in file-name order after the gender filter.
+    counts matches in order of their ids after the gender filter.
     """
     docs = (
         spark.read.schema(f"{MATCH_DDL}, _corrupt STRING")
@@ -51,8 +73,9 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None,
         .json(path)
         .withColumns(
             {
-                "match_id": F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""),
+                "match_id": match_id_of(F.col("_metadata.file_name")),
                 "modified_at": F.col("_metadata.file_modification_time"),
+                "file_name": F.col("_metadata.file_name"),
             }
         )
         .where(F.col("_corrupt").isNull() & F.col("info").isNotNull())
@@ -63,16 +86,10 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None,
     if gender is not None:
         wanted = [gender] if isinstance(gender, str) else list(gender)
         docs = docs.where(F.col("info.gender").isin(*wanted))
-    docs = docs.withColumns(
-        {
-            "gender": F.coalesce("info.gender", F.lit("male")),
-            "format_key": text.format_key(
-                F.col("fmt"), F.coalesce("info.gender", F.lit("male"))
-            ),
-        }
-    )
-    if limit is not None:
-        docs = docs.orderBy("match_id").limit(limit)
+    docs = with_format(latest_revision(docs).drop("file_name"))
+    if limit is not None:  # ids are chosen before documents are moved
+        chosen = docs.select("match_id").orderBy("match_id").limit(limit)
+        docs = docs.join(chosen, "match_id", "left_semi")
     return docs
 
 

@@ -2,63 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from overstats.operators import publish
-from overstats.sources.documents import MATCH_DDL
+from overstats.sources.documents import MATCH_DDL, latest_revision, match_id_of, with_format
 
 
 def document_stream(spark: SparkSession, path: str, fmt: str, files_per_batch: int = 10000
                     ) -> DataFrame:
-    """Match files as they land; a revised file is the same id, modified later."""
-    return (
+    """Match files as they land, as the batch reads them; a revised file is the same id, modified later."""
+    landed = (
         spark.readStream.schema(f"{MATCH_DDL}, _corrupt STRING")
         .option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.json")
         .json(path)
         .select(
-            # A revision keeps the match id up to the first dot: 123.json, 123.r2.json.
-            F.substring_index(F.col("_metadata.file_name"), ".", 1).alias("match_id"),
+            match_id_of(F.col("_metadata.file_name")).alias("match_id"),
             F.lit(fmt).alias("fmt"), F.col("_metadata.file_modification_time").alias("modified_at"),
             F.col("_metadata.file_name").alias("file_name"), "info", "innings", "_corrupt",
         )
         .where(F.col("_corrupt").isNull() & F.col("info").isNotNull()).drop("_corrupt")
     )
+    return with_format(landed)
 
 
-def latest_revision(documents: DataFrame) -> DataFrame:
-    """The newest file of each match.
-
-    The document travels through a keyed maximum, which keeps one per match
-    in each task before the shuffle.
-    """
-    rest = [c for c in documents.columns if c != "match_id"]
-    newest = F.max_by(F.struct(*rest), F.struct("modified_at", "file_name"))
-    return documents.groupBy("match_id").agg(newest.alias("_d")).select("match_id", "_d.*")
-
-
-def ingest(stream: DataFrame, root: str, checkpoint: str, derive) -> StreamingQuery:
-    """Run every waiting file through ``derive`` and upsert the rows by match.
+def ingest(stream: DataFrame, root: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame],
+           keys: Sequence[str] = ("match_id",)) -> StreamingQuery:
+    """Run every waiting file through ``derive`` and replace the rows of its match.
 
-    ``derive`` maps documents to rows with a ``match_id`` and ``modified_at``.
-    Older revisions never overwrite newer ones, and replaying a batch changes
+    ``derive`` maps documents to rows with a ``match_id``, as many a match as
+    it likes as long as ``keys`` tell them apart. Older revisions never overwrite newer ones, and replaying a batch changes
     nothing, so a restart after a failure is safe.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        rows = derive(latest_revision(batch))
+        newest = latest_revision(batch)
+        rows = derive(newest).drop("modified_at").join(newest.select("match_id", "modified_at"), "match_id")
         old = publish.read_snapshot(spark, root)
         if old is not None:
-            kept = old.select("match_id", F.col("modified_at").alias("_seen"))
+            kept = old.groupBy("match_id").agg(F.max("modified_at").alias("_seen"))
             rows = rows.join(kept, "match_id", "left").where(
                 F.col("_seen").isNull() | (F.col("modified_at") >= F.col("_seen"))).drop("_seen")
-            untouched = old.join(rows.select("match_id"), "match_id", "left_anti")
+            untouched = old.join(rows.select("match_id").distinct(), "match_id", "left_anti")
             rows = untouched.unionByName(rows)
-        publish.publish(spark, root, rows, ["match_id"])
+        publish.publish(spark, root, rows, list(keys))
 
     return stream.writeStream.foreachBatch(merge).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()

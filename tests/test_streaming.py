@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from overstats.operators import state
+from overstats.sources import documents
 from overstats.sources.tables import Tables
 from overstats.streaming import ingest, live
 from overstats.operators import publish
@@ -57,3 +58,24 @@ def test_ingest_takes_new_and_revised_files_once(spark, tmp_path):
     save(folder, m3=doc(3))
     (folder / "m2.r2.json").write_text(json.dumps(doc(5)))
     assert run() == {"m1": 1, "m2": 5, "m3": 3}
+
+
+def test_streamed_documents_give_the_deliveries_of_a_batch(spark, tmp_path):
+    people = {"A": "a", "B": "b", "X": "x"}
+    doc = lambda n: match(innings("India", [ball("A", "X", "B", 1)] * n), people=people)
+    folder, root, check = tmp_path / "in", str(tmp_path / "balls"), str(tmp_path / "ckpt")
+    cols = ("match_id", "format_key", "innings", "seq", "batter_id", "runs_total")
+
+    def run():
+        stream = ingest.document_stream(spark, str(folder), "odi")
+        ingest.ingest(stream, root, check, lambda d: documents.flatten(d).select(*cols), ["match_id", "innings", "seq"]).awaitTermination(120)
+        got = sorted(tuple(r) for r in publish.read_snapshot(spark, root).select(*cols).collect())
+        batch = documents.flatten(documents.read_documents(spark, str(folder), "odi")).select(*cols)
+        assert got == sorted(tuple(r) for r in batch.collect())
+        return len(got)
+
+    save(folder, m1=doc(3), m2=doc(4))
+    assert run() == 7
+    time.sleep(1.1)
+    (folder / "m2.r2.json").write_text(json.dumps(doc(2)))
+    assert run() == 5
