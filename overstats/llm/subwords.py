@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overstats.llm import textbytes as tb
-from overstats.llm.store import map_batches
+from overstats.llm.store import give_back, map_batches
 
 BITS, DIM = 18, 12
 BUCKETS = 1 << BITS
@@ -177,16 +177,30 @@ def mean(numbers: np.ndarray, ids: np.ndarray, kind: Features) -> float:
     return float(numbers[has].mean())
 
 
-def learn(labelled: DataFrame, label_col: str, kind: Features, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, float] | None:
-    """Fit on a bounded sample of rows whose label is 0 or 1; None unless there are rows."""
-    rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label"), F.xxhash64(F.col(f"`{id_col}`")).alias("order")).where(f"text is not null and label in (0, 1) and octet_length(text) <= {SAMPLE_BYTES}")
-    turn = F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))
-    sample = rows.withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("order", "text", "label").toArrow()
-    sample = sample.sort_by([("order", "ascending"), ("text", "ascending")]).to_pydict()
+def learn(labels: DataFrame, docs: DataFrame, label_col: str, kind: Features, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, float] | None:
+    """Fit on a bounded sample of rows whose label is 0 or 1; None unless there are rows.
+
+    Ids are chosen by hash from the labels alone, a few times as many as are needed by a threshold on the hash, then
+    exactly; their texts are then picked out of ``docs`` where they lie, by a broadcast of at most 2 x SAMPLE ids.
+    """
+    ids = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"), F.xxhash64(F.col(f"`{id_col}`")).alias("order")).where("id is not null and label in (0, 1)")
+    totals = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
+    if not totals:
+        return None
+    range_ = 1 << 30
+    least = F.lit(range_)
+    for label, n in totals.items():
+        least = F.when(F.col("label") == label, int(range_ * min(1.0, 3 * SAMPLE / n)) + 1).otherwise(least)
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))
+    chosen = ids.where(F.pmod("order", F.lit(range_)) < least).withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("id", "label", "order")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("order", "label").agg(F.min("text").alias("text")).toArrow()
+    sample = sample.sort_by([("order", "ascending"), ("label", "ascending")]).to_pydict()
     if not sample["text"]:
         return None
-    totals = {r.label: r["count"] for r in labelled.select(F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)").groupBy("label").count().collect()}
-    return calibrated(sample["text"], sample["label"], kind, totals)
+    model = calibrated(sample["text"], sample["label"], kind, {k: totals.get(k, 0) for k in (0, 1)})
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, kind: Features, text_col: str = "text", prior: float = 0.5) -> DataFrame:

@@ -18,8 +18,7 @@ THRESHOLD = 0.3
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str, kind: subwords.Features, threshold: float, folds: int, held: int) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``; rows of fold ``held`` of ``folds`` aren't learned from."""
-    labelled = labels.where(fold("doc_id", folds) != held).select("doc_id", label_col).join(docs.select("doc_id", "text"), "doc_id")
-    model = subwords.learn(labelled, label_col, kind)
+    model = subwords.learn(labels.where(fold("doc_id", folds) != held), docs, label_col, kind)
     held_out = F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out")
     found = subwords.score(docs.select("doc_id", held_out, "text"), model, kind)
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -150,7 +150,7 @@ def test_scores_of_odd_texts(spark, kind):
     assert got.columns.count("score") == 1 and got.count() == docs.count()
     assert got.where("score is null or score < 0 or score > 1").count() == 0
     assert len({r.score for r in got.where("doc_id in (300, 301, 302)").collect()}) == 1
-    assert subwords.learn(spark.createDataFrame([], "doc_id long, text string, toxic int"), "toxic", kind) is None
+    assert subwords.learn(spark.createDataFrame([], "doc_id long, toxic int"), docs, "toxic", kind) is None
     assert {r.score for r in subwords.score(docs, None, kind).collect()} == {0.5}
 
 
