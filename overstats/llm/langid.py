@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overstats.llm import textbytes as tb
-from overstats.llm.store import map_batches
+from overstats.llm.store import give_back, map_batches
 
 SAMPLE, SAMPLE_BYTES, LANDMARKS = 1200, 20_000, 240
 LONGEST, BUCKETS, RIDGE = 4, 1 << 16, 1e-3
@@ -54,32 +54,43 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], languages: list[str]) -> tuple[list[str], np.ndarray]:
     """(names, matrix) such that presence x matrix / root of the number of n-grams is the ridge regression's output."""
     names = sorted(set(languages))
-    x = presence(*tb.utf8(pa.array(texts, pa.string()))).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     which = np.array([names.index(y) for y in languages])
     turn = np.empty(len(which), np.int64)
     for k in range(len(names)):
         turn[which == k] = np.arange((which == k).sum())
-    landmarks = x[np.argsort(turn, kind="stable")[:LANDMARKS]]
-    across, within = (x @ landmarks.T).astype(np.float64), (landmarks @ landmarks.T).astype(np.float64)
+    landmarks = _unit([texts[k] for k in np.argsort(turn, kind="stable")[:LANDMARKS].tolist()])
+    across = np.concatenate([_unit(texts[k : k + 50]) @ landmarks.T for k in range(0, len(texts), 50)]).astype(np.float64)
+    within = (landmarks @ landmarks.T).astype(np.float64)
     target = (which[:, None] == np.arange(len(names))).astype(np.float64)
-    left = across.T @ across + RIDGE * len(x) * within + 1e-9 * len(x) * np.eye(len(within))
-    return names, (landmarks.T @ np.linalg.solve(left, across.T @ target)).astype(np.float32)
+    left = across.T @ across + RIDGE * len(texts) * within + 1e-9 * len(texts) * np.eye(len(within))
+    return names, (landmarks.T @ np.linalg.solve(left, across.T @ target).astype(np.float32))
+
+
+def _unit(texts: list[str]) -> np.ndarray:
+    """Presence vectors of length 1."""
+    x = presence(*tb.utf8(pa.array(texts, pa.string()))).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return x
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> tuple[list[str], np.ndarray] | None:
     """Fit on a bounded sample of rows with text and language; None if there are none."""
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{order_col}`")).alias("order")).where("text is not null and lang is not null")
-    names = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).count()
-    if not names:
+    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if not counts:
         return None
-    if names > MOST_LANGUAGES:
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    each = max(4, SAMPLE // names)
+    each, range_ = max(4, SAMPLE // len(counts)), 1 << 30
+    # A threshold on the hash leaves a few times as many rows as are needed, so that no task gathers more.
+    least = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(range_ * min(1.0, 4 * each / r["count"])) + 1)])
+    rows = rows.where(F.pmod("order", F.lit(range_)) < least[F.col("lang")])
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
     sample = rows.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}")).withColumn("turn", turn).where(F.col("turn") <= each)
     sample = sample.select("text", "lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")]).to_pydict()
-    return fit(sample["text"], sample["lang"]) if sample["text"] else None
+    model = fit(sample["text"], sample["lang"]) if sample["text"] else None
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, text_col: str = "text", new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
