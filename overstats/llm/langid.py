@@ -4,8 +4,8 @@ The kernel is the blended spectrum of presence: two texts share so many of the n
 text in lower case, other signs than letters being one space) of which each has at least one, divided by the root of
 the product of their own numbers. n-grams are told apart by ``BUCKETS`` hash buckets.
 
-A sample of labelled rows of at most ``SAMPLE`` rows in all, as many of each language, of texts up to ``SAMPLE_BYTES``
-bytes is fitted; ``LANDMARKS`` of them carry the kernel. Any text is scored, whole: as kernel, landmarks and ridge
+A sample of labelled rows of at most ``SAMPLE`` rows in all, as many of each language, is fitted: texts up to
+``SAMPLE_BYTES`` bytes, and where a language has too few of these its shortest longer ones, whole; ``LANDMARKS`` of them carry the kernel. Any text is scored, whole: as kernel, landmarks and ridge
 weights are all linear in its presence vector, they are folded into one matrix, and a batch of presence vectors times
 that matrix gives the scores of all languages.
 """
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from overstats.llm import sample
 from overstats.llm import textbytes as tb
 from overstats.llm.store import give_back, map_batches
 
@@ -51,8 +52,19 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """:func:`presence` of each text in BUCKETS / 8 bytes, however long the text."""
+    rows = range(0, len(offsets) - 1, 32)
+    return [bits.tobytes() for k in rows for bits in np.packbits(presence(data, offsets[k : k + 33]), axis=1)]
+
+
 def fit(texts: list[str], languages: list[str]) -> tuple[list[str], np.ndarray]:
     """(names, matrix) such that presence x matrix / root of the number of n-grams is the ridge regression's output."""
+    return fit_packed(packed(*tb.utf8(pa.array(texts, pa.string()))), languages)
+
+
+def fit_packed(texts: list[bytes], languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """:func:`fit` on the packed presence of each text."""
     names = sorted(set(languages))
     which = np.array([names.index(y) for y in languages])
     turn = np.empty(len(which), np.int64)
@@ -66,29 +78,42 @@ def fit(texts: list[str], languages: list[str]) -> tuple[list[str], np.ndarray]:
     return names, (landmarks.T @ np.linalg.solve(left, across.T @ target).astype(np.float32))
 
 
-def _unit(texts: list[str]) -> np.ndarray:
+def _unit(texts: list[bytes]) -> np.ndarray:
     """Presence vectors of length 1."""
-    x = presence(*tb.utf8(pa.array(texts, pa.string()))).astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1), axis=1).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     return x
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> tuple[list[str], np.ndarray] | None:
-    """Fit on a bounded sample of rows with text and language; None if there are none."""
-    rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{order_col}`")).alias("order")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    """Fit on a bounded sample of rows with language and a letter in the text; None if there are none.
+
+    Rows are counted after that, so every language has its places if it has the rows: short texts by hash, then longer
+    ones, shortest first, whole. Rows that repeat in id and text are one. Presence vectors are made where the texts
+    lie, so the driver gets 8 KB a text.
+    """
+    text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
+    rows = labelled.select(text.alias("text"), lang.alias("lang"), F.xxhash64(F.col(f"`{order_col}`"), text).alias("order"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("step", sample.step(F.octet_length("text"), SAMPLE_BYTES))
+    counts = rows.groupBy("lang", "step").agg(F.approx_count_distinct("order").alias("n")).limit(MOST_LANGUAGES * sample.STEPS + 1).collect()
+    n_languages = len({r.lang for r in counts})
     if not counts:
         return None
-    if len(counts) > MOST_LANGUAGES:
+    if n_languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    each, range_ = max(4, SAMPLE // len(counts)), 1 << 30
-    # A threshold on the hash leaves a few times as many rows as are needed, so that no task gathers more.
-    least = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(range_ * min(1.0, 4 * each / r["count"])) + 1)])
-    rows = rows.where(F.pmod("order", F.lit(range_)) < least[F.col("lang")])
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    sample = rows.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}")).withColumn("turn", turn).where(F.col("turn") <= each)
-    sample = sample.select("text", "lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")]).to_pydict()
-    model = fit(sample["text"], sample["lang"]) if sample["text"] else None
+    each = max(4, SAMPLE // n_languages)
+    asked = rows.where(sample.passing([(r.lang, r.step, r.n) for r in counts], each, F.col("lang"), F.col("step"), F.col("order")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in tb.blocks(batch.column(3)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[:3], pa.array(packed(data, offsets), pa.binary())], names=["lang", "step", "order", "bits"])
+
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("step", "order"))
+    once = map_batches(asked.select("lang", "step", "order", "text"), run, "lang string, step int, order long, bits binary").dropDuplicates(["lang", "step", "order"])
+    chosen = once.withColumn("turn", turn).where(F.col("turn") <= each).select("lang", "turn", "bits").toArrow()
+    chosen = chosen.sort_by([("lang", "ascending"), ("turn", "ascending")]).to_pydict()
+    model = fit_packed(chosen["bits"], chosen["lang"])
     give_back()
     return model
 

@@ -123,6 +123,26 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_and_of_few_short_ones_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 24)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 100)
+    seen = []
+    fit = langid.fit_packed
+    monkeypatch.setattr(langid, "fit_packed", lambda texts, languages: seen.append((texts, languages)) or fit(texts, languages))
+    short = [(k, f"the cat and the dog {k}", "en") for k in range(10)]
+    rows = short + [(100 + k, f"the house of the cat {k} " * 30, "en") for k in range(4000)]
+    rows += [(9000 + k, "le chat et la souris " * (10 + k), "fr") for k in range(30)] + [(9500 + k, "42 -- !!", "en") for k in range(500)]
+    rows += [(9999, "el gato y el perro", "es")] * 3000
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[0] == ["en", "es", "fr"]
+    (texts, languages), = seen
+    assert Counter(languages) == {"en": 8, "es": 1, "fr": 8}
+    pack = lambda x: langid.packed(*langid.tb.utf8(langid.pa.array([x])))[0]
+    assert {x for x, y in zip(texts, languages) if y == "en"} <= {pack(t) for _, t, _ in short}
+    docs = spark.createDataFrame([(1, "la souris et le chat"), (2, "the dog and the cat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()} == {1: "fr", 2: "en"}
+
+
 def test_landmark_scores_are_ridge_regression():
     texts = ["the cat", "a dog and cat", "le chat", "et la souris", "un chien"]
     names, matrix = langid.fit(texts, ["en", "en", "fr", "fr", "fr"])
