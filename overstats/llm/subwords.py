@@ -5,13 +5,14 @@ for, the words themselves and the pairs of neighbours (a word that follows itsel
 features (see ``Features.distinct``), its class the softmax of a linear map of that mean; vectors and map are trained together by
 stochastic gradient descent with a step of its own for every vector. Rows kept back set the scale of the result.
 
-Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, texts up to ``SAMPLE_BYTES``, chosen by a
-hash of the row's id). Scoring takes every whole text: the mean of vectors through a linear map is the mean of one
+Training takes a bounded sample of labelled rows (``SAMPLE`` of each class, chosen by a hash of the row's id among texts
+up to ``SAMPLE_BYTES``; a class with too few of these takes its shortest longer ones, whole). Scoring takes every whole text: the mean of vectors through a linear map is the mean of one
 number per feature, so tasks get that one column of BUCKETS numbers.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from overstats.llm import sample
 from overstats.llm import textbytes as tb
-from overstats.llm.store import give_back, map_batches
+from overstats.llm.store import forget, give_back, map_batches, save
 
 BITS, DIM = 18, 12
 BUCKETS = 1 << BITS
@@ -98,13 +100,20 @@ def weights(ids: np.ndarray, kind: Features) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], labels: list[int], kind: Features, seed: int = 0) -> tuple[np.ndarray, float]:
     """(a number for every bucket, offset): the logit of label 1 is the offset plus the mean number of a text's features."""
-    random = np.random.default_rng(seed)
     rows = []
     for _, _, data, offsets in tb.blocks(pa.array(texts, pa.string())):
         rows += [weights(x, kind) for x in buckets(data, offsets, kind)]
+    return fit_weights(rows, labels, seed)
+
+
+def fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 0) -> tuple[np.ndarray, float]:
+    """:func:`fit` on the :func:`weights` of each text."""
+    random = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
     vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    texts_with = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=BUCKETS) if rows else np.zeros(BUCKETS, np.int64)
+    texts_with = np.zeros(BUCKETS, np.int64)
+    for ids, _ in rows:
+        texts_with[ids] += 1
     trained = texts_with >= LEAST_TEXTS
     vectors[~trained] = 0
     linear, offset = random.uniform(-0.5, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -142,16 +151,14 @@ def fit(texts: list[str], labels: list[int], kind: Features, seed: int = 0) -> t
     return vectors @ (linear[:, 1] - linear[:, 0]), float(offset[1] - offset[0])
 
 
-def calibrated(texts: list[str], labels: list[int], kind: Features, totals: dict[int, int]) -> tuple[np.ndarray, float]:
+def calibrated(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], totals: dict[int, int]) -> tuple[np.ndarray, float]:
     """Fit on three of four rows; the others, weighted to the true shares of the labels, give the logit's scale and offset."""
-    rest = np.arange(len(texts)) % CALIBRATE > 0
+    rest = np.arange(len(rows)) % CALIBRATE > 0
     y = np.array(labels)
     if min(np.bincount(y[~rest], minlength=2)) < 5:
-        return fit(texts, labels, kind)
-    numbers, offset = fit([x for x, use in zip(texts, rest) if use], y[rest].tolist(), kind)
-    z = []
-    for _, _, data, offsets in tb.blocks(pa.array([x for x, use in zip(texts, rest) if not use], pa.string())):
-        z += [offset + mean(numbers, ids, kind) for ids in buckets(data, offsets, kind)]
+        return fit_weights(rows, labels)
+    numbers, offset = fit_weights([x for x, use in zip(rows, rest) if use], y[rest].tolist())
+    z = [offset + float(numbers[ids] @ share) for (ids, share), use in zip(rows, rest) if not use]
     z, y = np.array(z), y[~rest]
     weight = np.array([totals[k] for k in (0, 1)]) / np.bincount(y, minlength=2)
     weight = (weight / weight[y].mean())[y]
@@ -178,27 +185,52 @@ def mean(numbers: np.ndarray, ids: np.ndarray, kind: Features) -> float:
 
 
 def learn(labels: DataFrame, docs: DataFrame, label_col: str, kind: Features, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, float] | None:
-    """Fit on a bounded sample of rows whose label is 0 or 1; None unless there are rows.
+    """Fit on a bounded sample of rows whose label is 0 or 1; None unless there are rows with a text.
 
-    Ids are chosen by hash from the labels alone, a few times as many as are needed by a threshold on the hash, then
-    exactly; their texts are then picked out of ``docs`` where they lie, by a broadcast of at most 2 x SAMPLE ids.
+    Ids are chosen among those whose text is there, from ids, labels and sizes alone: short texts by hash, then longer
+    ones, shortest first. Their texts are then picked out of ``docs`` where they lie, by a broadcast of at most
+    2 x SAMPLE ids, and become features there; the driver keeps these in a file. Of texts of one id the least of the
+    smallest step counts.
     """
     ids = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"), F.xxhash64(F.col(f"`{id_col}`")).alias("order")).where("id is not null and label in (0, 1)")
     totals = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
     if not totals:
         return None
-    range_ = 1 << 30
-    least = F.lit(range_)
-    for label, n in totals.items():
-        least = F.when(F.col("label") == label, int(range_ * min(1.0, 3 * SAMPLE / n)) + 1).otherwise(least)
-    turn = F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))
-    chosen = ids.where(F.pmod("order", F.lit(range_)) < least).withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("id", "label", "order")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = texts.join(F.broadcast(chosen), "id").groupBy("order", "label").agg(F.min("text").alias("text")).toArrow()
-    sample = sample.sort_by([("order", "ascending"), ("label", "ascending")]).to_pydict()
-    if not sample["text"]:
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    texts = texts.withColumn("step", sample.step(F.octet_length("text"), SAMPLE_BYTES))
+    sized = save(ids.distinct().join(texts.groupBy("id").agg(F.min("step").alias("step")), "id"), "labelled")
+    counts = [(r.label, r.step, r["count"]) for r in sized.groupBy("label", "step").count().collect()]
+    if not counts:
+        forget(sized)
         return None
-    model = calibrated(sample["text"], sample["label"], kind, {k: totals.get(k, 0) for k in (0, 1)})
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("step", "order", "id"))
+    asked = sized.where(sample.passing(counts, SAMPLE, F.col("label"), F.col("step"), F.col("order")))
+    chosen = asked.withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("id", "step", "label", "order")
+    whole = texts.join(F.broadcast(chosen), ["id", "step"]).groupBy("order", "label").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in tb.blocks(batch.column(2)):
+                both = [weights(x, kind) for x in buckets(data, offsets, kind)]
+                parts = [pa.array([x[k].tobytes() for x in both], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns[:2], *parts], names=["order", "label", "ids", "shares"])
+
+    made = save(map_batches(whole, run, "order long, label int, ids binary, shares binary"), "features")
+    with tempfile.TemporaryFile() as file:
+        found, at = [], 0
+        for r in made.toLocalIterator():
+            file.write(r.ids)
+            file.write(r.shares)
+            found.append((r.order, r.label, at, len(r.ids) // 4))
+            at += 2 * len(r.ids)
+        file.write(bytes(4))  # an empty file can't be mapped
+        file.flush()
+        data, found = np.memmap(file, np.int32, "r"), sorted(found)
+        starts = [(x[2] // 4, x[3]) for x in found]
+        rows = [(data[k : k + n], data[k + n : k + 2 * n].view(np.float32)) for k, n in starts]
+        model = calibrated(rows, [x[1] for x in found], {k: totals.get(k, 0) for k in (0, 1)})
+        del data, rows
+    forget(sized, made)
     give_back()
     return model
 

@@ -162,6 +162,24 @@ def test_labels_are_learned(spark):
         assert both.where(f"predicted = {label}").count() >= least * both.count() > 0
 
 
+@pytest.mark.parametrize("kind", [toxicity.FEATURES, quality.FEATURES])
+def test_labels_of_long_texts_are_learned(spark, monkeypatch, kind):
+    monkeypatch.setattr(subwords, "SAMPLE", 40)
+    monkeypatch.setattr(subwords, "SAMPLE_BYTES", 200)
+    sizes = []
+    calibrated = subwords.calibrated
+    monkeypatch.setattr(subwords, "calibrated", lambda rows, labels, totals: sizes.append(Counter(labels)) or calibrated(rows, labels, totals))
+    good = [(k, f"good words there {k % 9}" * (1 if k % 50 == 0 else 40), 0) for k in range(3000)]  # 60 short ones
+    bad = [(5000 + k, f"bad words here {k % 9} " * (20 + k), 1) for k in range(60)]
+    lost = [(8000 + k, None, 1) for k in range(200)]
+    rows = spark.createDataFrame(good + bad + lost, "doc_id long, text string, toxic int")
+    docs = rows.select("doc_id", "text").where("doc_id < 8100")
+    model = subwords.learn(rows.select("doc_id", "toxic"), docs, "toxic", kind)
+    assert sizes == [{0: 40, 1: 40}]
+    got = {r.doc_id: r.score for r in subwords.score(docs, model, kind).collect()}
+    assert min(got[5000 + k] for k in range(60)) > max(got[k] for k in range(3000))
+
+
 @pytest.mark.parametrize("kind", [toxicity.FEATURES, quality.FEATURES])
 def test_scores_of_odd_texts(spark, kind):
     model = subwords.fit(["bad words here", "good words there"] * 9, [1, 0] * 9, kind)
