@@ -258,6 +258,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words are linked with nothing. A null id never names a group that has another. Repeated rows are rows of
     their group, each. An empty table gives an empty result; other columns aren't looked at.
     """
+    rows, nodes = _grouped(docs, id_col, text_col, width, threshold)
+    group = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
+    named_nodes = nodes.join(group, "component").select("h1", "h2", "component_id", F.lit(True).alias("linked"))
+    out = rows.drop("halves").join(named_nodes, ["h1", "h2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "h1", "h2", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and component, node, h1, h2, id (the smallest) of every different set."""
     rows = save(signatures(docs, id_col, text_col, width), "signatures")
     folded = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
     nodes = save(folded.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
@@ -284,21 +294,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget(starred, stars, pairs, family, sides)
     if not more.isEmpty():
         found = save(components(links.union(more)), "components")
-    smallest = known.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "h1", "h2", "id")
-    group = smallest.groupBy("component").agg(F.min("id").alias("component_id"))
-    named_nodes = smallest.join(group, "component").select("h1", "h2", "component_id", F.lit(True).alias("linked"))
-    out = rows.drop("halves").join(named_nodes, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "h1", "h2", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return rows, known.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "h1", "h2", "id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id; columns as they were.
 
-    Of rows that repeat in id and set one stays.
+    Of rows that repeat in id and set one stays, of sets of one id in a group that of the smallest signature. A row
+    without id stays only in a group without any id.
     """
-    found = near_duplicates(docs, id_col, text_col, width, threshold)
-    stay = found.where("kept and n_shingles > 0").groupBy(F.xxhash64(id_col).alias("_k0"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2")).agg(F.count("*").alias("_n"))
+    rows, nodes = _grouped(docs, id_col, text_col, width, threshold)
+    first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("first"))
+    first = first.select(F.xxhash64("first.id").alias("_k0"), F.col("first.h1").alias("_k1"), F.col("first.h2").alias("_k2"))
+    stay = rows.where("n_shingles > 0").groupBy(F.xxhash64("id").alias("_k0"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2")).agg(F.count("*").alias("_n"))
+    stay = stay.join(first, ["_k0", "_k1", "_k2"])
     stay = save(stay, "stay")
     schema = T.StructType([*docs.schema.fields, T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("_w", T.LongType())])
     at = docs.columns.index(text_col)

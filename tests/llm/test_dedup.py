@@ -63,6 +63,15 @@ def test_one_of_each_group_stays(spark):
     assert {i for i, t in got if shingles(t, 5)} == set(want.values())
 
 
+def test_one_of_near_equal_rows_of_one_id_or_none_stays(spark):
+    words = [f"n{k}" for k in range(90)]
+    near = lambda mark, n: [" ".join([*(f"{mark}{x}" for x in words), *(f"{mark}t{j}" for j in range(k))]) for k in range(n)]
+    rows = [(1, t) for t in near("a", 3)] + [(None, t) for t in near("b", 4)] + [(None, near("b", 1)[0])]
+    rows += [(None, near("c", 1)[0]), (7, near("c", 2)[1]), (7, near("c", 3)[2]), (8, near("c", 1)[0])]
+    got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text[0], r.doc_id) for r in got) == [("a", 1), ("b", None), ("c", 7)]
+
+
 def test_a_hub_whose_copies_are_far_from_each_other(spark):
     rng = random.Random(4)
     base = [f"b{k}" for k in range(120)]
