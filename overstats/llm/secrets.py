@@ -2,8 +2,9 @@
 
 Base spans are matches of three fixed patterns. Every matched value, and every other long token that mixes letters of
 both cases with digits, is a candidate. Its hash is counted over the corpus: by how many owners, and in how many
-repositories, it occurs. A value of many owners is an example that was copied about; a value that one owner alone has
-and that looks random is live-looking, and the method adds it as a span of kind ``live``.
+repositories, it occurs. A value of many owners, or of many repositories even of one owner, is an example that was
+copied about; a value that one owner alone has in few repositories and that looks random is live-looking, and the method
+adds it as a span of kind ``live``.
 
 Built-in expressions only. Matches of a pattern are placed by splitting the text at them: the pieces between the
 matches and the matches themselves give all offsets in code points. Counting folds by (hash, owner) and then by hash,
@@ -27,8 +28,8 @@ KINDS = {
 #: Long tokens that the method looks at besides.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_VALUE = 6
-#: A live-looking value has one owner and at least so many different signs.
-MOST_OWNERS, LEAST_SIGNS = 1, 10
+#: A live-looking value has one owner, few repositories and at least so many different signs.
+MOST_OWNERS, MOST_REPOS, LEAST_SIGNS = 1, 5, 10
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -53,12 +54,17 @@ def _value(span: Column) -> Column:
     return F.when(span["kind"] == 0, F.regexp_extract(span["value"], KINDS["assign"], 2)).otherwise(span["value"])
 
 
+def _hashed(name: str) -> Column:
+    """Hash of a name; null without one."""
+    return F.when(F.col(f"`{name}`").isNotNull(), F.xxhash64(F.col(f"`{name}`").cast("string")))
+
+
 def find(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """``docs`` without its text plus base (spans of the three kinds) and added (spans of kind ``live``), each an array
     of structs start, end, kind, owners, repos, ordered by start, then kind.
 
-    Null and empty texts have no spans. A null owner or repository is one of its own. Repeated rows each have their
-    spans and are one repository if they share its name. Columns of ``docs`` named base or added are replaced.
+    Null and empty texts have no spans. A row whose repository is null is a repository of its own, and a repository
+    whose owner is null is its own owner. Repeated rows each have their spans and are one repository if they share its name. Columns of ``docs`` named base or added are replaced.
     """
     columns = [c for c in docs.columns if c not in (text_col, "base", "added")]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -68,14 +74,16 @@ def find(docs: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     spans = F.filter(spans, lambda s: F.length(s["value"]) >= LEAST_VALUE)
     hashed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("hash"),
                                                      F.size(F.array_distinct(F.split(s["value"], ""))).alias("signs")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.xxhash64(F.col(f"`{owner_col}`").cast("string")).alias("owner"), F.xxhash64(F.col(f"`{repo_col}`").cast("string")).alias("repo"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), _hashed(owner_col).alias("owner"), _hashed(repo_col).alias("repo"), text.alias("text"))
     rows = rows.withColumns({"base": base, "other": other}).withColumn("spans", spans).select(F.monotonically_increasing_id().alias("row"), "doc", "owner", "repo", hashed.alias("spans"))
     rows = save(rows, "secrets")
-    each = rows.where(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("span")).select("row", "owner", "repo", "span.*")
+    repo = F.coalesce("repo", F.xxhash64(F.lit("row"), "row"))
+    owner = F.coalesce("owner", F.xxhash64(F.lit("repo"), repo))
+    each = rows.where(F.size("spans") > 0).select("row", owner.alias("owner"), repo.alias("repo"), F.explode("spans").alias("span")).select("row", "owner", "repo", "span.*")
     counts = (each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
               .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")))
     known = each.join(counts, "hash")
-    live = (F.col("owners") <= MOST_OWNERS) & (F.col("signs") >= LEAST_SIGNS)
+    live = (F.col("owners") <= MOST_OWNERS) & (F.col("repos") <= MOST_REPOS) & (F.col("signs") >= LEAST_SIGNS)
     span = lambda kind: F.struct("start", F.lit(kind).cast("int").alias("kind") if kind is not None else F.col("kind"), "end", "owners", "repos")
     found = known.groupBy("row").agg(F.collect_list(F.when(F.col("kind") < len(KINDS), span(None))).alias("base"), F.collect_list(F.when(live, span(len(KINDS)))).alias("added"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,owners:bigint,repos:bigint>>")

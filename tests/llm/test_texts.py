@@ -228,6 +228,18 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.find(cases.empty(spark)).count() == 0
 
 
+def test_copies_within_one_source_or_none_are_examples(spark):
+    live, pasted, shared = ("Zz9Yy8Xx7Ww6Vv5Uu4Tt" + x for x in "abc")
+    rows = [(k, f"token={pasted}", "hot") for k in range(40)] + [(100, f"token={live}", "hot"), (101, f"again {live}", "hot")]
+    rows += [(200 + k, f"token={shared}", None) for k in range(4)] + [(300, f"key {live}N", None)]
+    rows += [(None, f"key {shared}N", None) for _ in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = secrets.find(docs).collect()
+    assert {r.doc_id for r in got if r.added} == {100, 101, 300}
+    seen = {r.doc_id: (r.base[0].owners, r.base[0].repos) for r in got if r.base}
+    assert (seen[0], seen[100], seen[200]) == ((1, 40), (1, 2), (4, 4))
+
+
 # --- search ----------------------------------------------------------------
 def test_search_equals_full_scoring(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_BYTES", 9000)
