@@ -2,11 +2,13 @@
 
 Balls can arrive late, twice or out of order. Each innings keeps its totals,
 the next ball expected and the balls waiting behind a gap; state is emitted
-in order only, so every emitted row equals the batch computation's.
+in order only, so every emitted row equals the batch computation's. No ball is
+too late: a gap is closed whenever its ball comes.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,18 +43,22 @@ def _waiting(text: str) -> dict[int, tuple[int, int, int]]:
 def live_states(stream: DataFrame, max_balls: int, idle: str = "1 day") -> DataFrame:
     """State after every ball, as soon as all balls before it have arrived.
 
-    An innings is bounded by the game, so its waiting balls are too; state is
-    dropped once an innings has been silent for ``idle``. Ball numbers start
-    at 1 and repeats are ignored.
+    An innings is bounded by the game, so its waiting balls are too. Its state,
+    four numbers and these balls, stays as long as the stream's checkpoint; if
+    balls wait after a silence of ``idle``, the worker logs which ball is missing.
+    Ball numbers start at 1 and repeats are ignored.
     """
     days, unit = idle.split()
     timeout = int(days) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        match_id, innings = key
         if state.hasTimedOut:
-            state.remove()
+            expected, *_, text = state.get
+            if text:
+                logging.getLogger(__name__).warning("%s, innings %s: balls wait for ball %s", match_id, innings, expected)
+            state.update(state.get)
             return
-        match_id, innings = key
         frames = list(batches)
         if state.exists:
             expected, legal, wickets, runs, text = state.get

@@ -38,6 +38,29 @@ def test_live_state_equals_batch_with_late_and_repeated_balls(spark, tmp_path):
     assert spark.table("live").count() == len(got)
 
 
+def test_a_gap_closes_after_a_time_out(spark, tmp_path):
+    schema = "match_id string, innings int, seq int, is_legal int, team_wickets bigint, runs_total bigint, penalty_pre bigint"
+    folder = tmp_path / "feed"
+    arrive = lambda match, *seqs: spark.createDataFrame([(match, 1, k, 1, 0, k, 0) for k in seqs], schema).coalesce(1).write.mode("append").json(str(folder))
+    arrive("m", 1, 2, 4, 5)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches without end
+    query = live.live_states(spark.readStream.schema(schema).json(str(folder)), 120, idle="1 second").writeStream.format("memory").queryName("gap").outputMode(
+        "append").option("checkpointLocation", str(tmp_path / "ckpt")).start()
+    try:
+        query.processAllAvailable()
+        for other in ("n", "o"):  # batches in which m times out
+            time.sleep(2)
+            arrive(other, 1)
+            query.processAllAvailable()
+        arrive("m", 2, 3, 6)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = spark.table("gap").where("match_id = 'm'").collect()
+    assert sorted((r.seq, r.balls_left, r.runs) for r in got) == [(1, 119, 1), (2, 118, 3), (3, 117, 6), (4, 116, 10), (5, 115, 15), (6, 114, 21)]
+
+
 def test_ingest_takes_new_and_revised_files_once(spark, tmp_path):
     people = {"A": "a", "B": "b", "X": "x"}
     doc = lambda n: match(innings("India", [ball("A", "X", "B", 1)] * n), people=people)
