@@ -15,6 +15,7 @@ from overstats.llm.minhash import op1_minhash_near_dedup
 from overstats.llm.quality import op5_quality
 from overstats.llm.search import op8_topk_search
 from overstats.llm.secrets import op7_secret_scan
+from overstats.llm.tokencount import op12_token_counts
 from overstats.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk_search,
         op9_benchmark_decontamination,
         op10_chat_format,
+        op12_token_counts,
     )
 }
 ORACLE: dict[str, str] = {"op10_chat_format": OP10_SQL}
