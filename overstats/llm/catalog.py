@@ -17,6 +17,7 @@ from overstats.llm.search import op8_topk_search
 from overstats.llm.secrets import op7_secret_scan
 from overstats.llm.tokencount import op12_token_counts
 from overstats.llm.toxicity import op2_toxicity
+from overstats.llm.whitening import op13_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_benchmark_decontamination,
         op10_chat_format,
         op12_token_counts,
+        op13_embedding_whitening,
     )
 }
 ORACLE: dict[str, str] = {"op10_chat_format": OP10_SQL}
