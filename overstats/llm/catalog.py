@@ -12,6 +12,7 @@ from overstats.llm.decontaminate import op9_benchmark_decontamination
 from overstats.llm.langid import op4_language_id
 from overstats.llm.linededup import op6_line_dedup
 from overstats.llm.minhash import op1_minhash_near_dedup
+from overstats.llm.periods import op11_periodic_runs
 from overstats.llm.quality import op5_quality
 from overstats.llm.search import op8_topk_search
 from overstats.llm.secrets import op7_secret_scan
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk_search,
         op9_benchmark_decontamination,
         op10_chat_format,
+        op11_periodic_runs,
         op12_token_counts,
         op13_embedding_whitening,
     )
