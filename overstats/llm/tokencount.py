@@ -143,14 +143,14 @@ def commonest(counted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return counted.where(step >= least), counted.where(step < least)
 
 
-def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text", bytes_col: str = "n_bytes", tokens_col: str = "n_tokens", hot: int = HOT) -> DataFrame:
+def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text", bytes_col: str = "n_bytes", tokens_col: str = "n_tokens", hot: int = HOT, keep_text: bool = True) -> DataFrame:
     """``df`` plus the bytes (UTF-8) of its texts and how many tokens the model of ``path`` makes of them.
 
     Null and empty texts have 0 of both. Every row stays, repeated ones too; columns of ``df`` named like the new ones,
-    whatever their case, are replaced.
+    whatever their case, are replaced. Without ``keep_text`` the texts are left out, and then not written and shuffled.
     """
     new = (bytes_col.lower(), tokens_col.lower())
-    names = [c for c in df.columns if c.lower() not in new]
+    names = [c for c in df.columns if c.lower() not in new and (keep_text or c != text_col)]
     kept = [f"c{k}" for k in range(len(names))]
     model = load(path or default_path())
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -199,4 +199,4 @@ def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text",
 def op12_token_counts(spark, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    return count_tokens(docs, keep_text=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

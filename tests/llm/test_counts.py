@@ -31,6 +31,7 @@ def test_counts_equal_the_library(spark, hot):
     want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or ""))) for r in docs.collect())
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == want
     assert got.columns == [*docs.columns, "n_bytes", "n_tokens"]
+    assert "text" not in tokencount.count_tokens(docs, hot=hot, keep_text=False).columns
 
 
 def test_every_distinct_pretoken_is_counted_once(spark):
@@ -108,7 +109,8 @@ def test_products_are_exact():
     for most in (5, 1 << 19, 1 << 40, 1 << 55):
         y = rng.integers(-most, most, (50, 3))
         parts = whitening.limbs(y)
-        assert sum(p.astype(object) << 0 if False else np.vectorize(int, otypes=[object])(p) * (1 << (whitening.LIMB * k)) for k, p in enumerate(parts)).tolist() == y.tolist()
+            whole = sum(np.vectorize(int, otypes=[object])(p) * (1 << (whitening.LIMB * k)) for k, p in enumerate(parts))
+        assert whole.tolist() == y.tolist()
 
 
 @pytest.mark.parametrize("values", [
