@@ -8,7 +8,7 @@ from overstats.catalog.base import n_if, query, sql, total
 from overstats.catalog.matches import match_rows
 from overstats.operators import matches as match_ops
 from overstats.operators import players, publish, quality, ranking, state, teams
-from overstats.session import materialise
+from overstats.session import materialise, scratch_dir
 from overstats.sources import fingerprint as prints
 from overstats.sources import sinks
 
@@ -27,7 +27,7 @@ COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
  WHEN o_orderkey % 11 = 3 THEN 'inserted' WHEN o_orderkey % 7 = 2 THEN 'updated' ELSE 'unchanged' END AS status FROM orders
 WHERE NOT (o_orderkey % 13 = 5 AND o_orderkey % 11 = 3)""")
 def change_set(t):
-    rows = t.table("orders").select(*COLS)
+    rows = t.table("orders")
     return publish.change_set(_old(rows), rows.where(F.col("o_orderkey") % 13 != 5), ["o_orderkey"])
 
 
@@ -35,11 +35,45 @@ def change_set(t):
  WHEN o_orderkey % 11 = 3 THEN 'inserted' WHEN o_orderkey % 7 = 2 THEN 'updated' ELSE 'unchanged' END AS status FROM orders
 WHERE NOT (o_orderkey % 13 = 5 AND o_orderkey % 11 = 3)) GROUP BY 2""")
 def change_counts(t):
-    rows = t.table("orders").select(*COLS)
+    rows = t.table("orders")
     return publish.change_counts(publish.change_set(
         _old(rows), rows.where(F.col("o_orderkey") % 13 != 5), ["o_orderkey"]), "orders")
 
 
+@query("""SELECT * FROM orders WHERE o_orderkey % 13 <> 5""")
+def applied_snapshot(t):
+    """A table published as an earlier build held it, then as it is now without some rows, and read back."""
+    root = f"{scratch_dir(t.spark, 'snapshots')}/orders"
+    rows = t.table("orders")
+    publish.publish(t.spark, root, _old(rows), ["o_orderkey"], buckets=16)
+    publish.publish(t.spark, root, rows.where(F.col("o_orderkey") % 13 != 5), ["o_orderkey"])
+    return publish.read_snapshot(t.spark, root)
+
+
+@query("""SELECT * REPLACE (CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderkey % 7 = 2 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey) FROM orders
+ WHERE CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey % 13 <> 5 ELSE o_orderkey % 11 <> 3 END""")
+def partial_snapshot(t):
+    """The same with a second build that knows one priority alone: rows of the others stay as they were."""
+    root = f"{scratch_dir(t.spark, 'snapshots')}/orders"
+    rows, urgent = t.table("orders"), F.col("o_orderpriority") == "1-URGENT"
+    publish.publish(t.spark, root, _old(rows), ["o_orderkey"], buckets=16)
+    publish.publish(t.spark, root, rows.where(F.col("o_orderkey") % 13 != 5), ["o_orderkey"], scope=urgent)
+    return publish.read_snapshot(t.spark, root)
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 9 = 4 AND o_orderkey % 3 <> 0
+UNION ALL SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 9 <> 4""")
+def regrouped_snapshot(t):
+    """Groups that arrive anew replace all rows they had; the rest is neither read nor written."""
+    root = f"{scratch_dir(t.spark, 'snapshots')}/orders"
+    rows, c = t.table("orders").select("o_custkey", "o_orderkey", "o_totalprice"), F.col
+    publish.publish(t.spark, root, rows, ["o_custkey", "o_orderkey"], bucket_by=["o_custkey"], buckets=16)
+    again = rows.where((c("o_custkey") % 9 == 4) & (c("o_orderkey") % 3 != 0))
+    groups = rows.where(c("o_custkey") % 9 == 4).select("o_custkey")
+    publish.publish(t.spark, root, again, ["o_custkey", "o_orderkey"], groups=groups)
+    return publish.read_snapshot(t.spark, root)
+
+
 @query("""SELECT o_orderkey, SHA256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority
  || '","o_orderstatus":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS hash FROM orders""")
 def row_hashes(t):
@@ -51,7 +85,7 @@ def row_hashes(t):
 @query("""SELECT o_custkey, BOOL_OR(changed) AS changed FROM (SELECT o_custkey, o_orderkey % 101 = 7 AS changed FROM orders) GROUP BY 1""")
 def changed_groups(t):
     """Groups with any changed row, found by comparing one hash per group."""
-    rows = t.table("orders").select(*COLS)
+    rows = t.table("orders")
     stale = rows.withColumn("o_orderpriority", F.when(
         F.col("o_orderkey") % 101 == 7, "was").otherwise(F.col("o_orderpriority")))
     was, now = publish.group_hash(stale, ["o_custkey"]), publish.group_hash(rows, ["o_custkey"])

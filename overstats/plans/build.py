@@ -126,14 +126,9 @@ def write(spark: SparkSession, build: Build, root: str, scope_keys: list[str] |
     """
     out = {}
     for name, df in build.tables.items():
-        scope = None
-        if scope_keys is not None and "format_key" in df.columns:
-            scope = F.col("format_key").isin(*scope_keys)
-        elif scope_keys is not None:
-            old = publish.read_snapshot(spark, f"{root}/{name}")
-            if old is not None:
-                df = df.unionByName(old.join(df.select(*KEYS[name]), list(KEYS[name]), "left_anti"))
-        out[name] = publish.publish(spark, f"{root}/{name}", df, KEYS[name], scope)
+        keyed = "format_key" in df.columns
+        scope = F.col("format_key").isin(*scope_keys) if scope_keys is not None and keyed else None
+        out[name] = publish.publish(spark, f"{root}/{name}", df, KEYS[name], scope, deletes=scope_keys is None or keyed)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +58,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/overstats-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share; a temporary one only for a local master without a shared folder."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="overstats-")
+    return f"{folder.rstrip('/')}/overstats-{label}-{uuid.uuid4().hex}"

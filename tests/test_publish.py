@@ -36,6 +36,63 @@ def test_publish_is_incremental_idempotent_and_scoped(spark, tmp_path):
     assert list(found) == ["things"] and missing == ["others"]
 
 
+def folders(spark, root):
+    return publish.current(spark, root)["folders"]
+
+
+def test_one_changed_row_writes_one_bucket(spark, tmp_path):
+    root = str(tmp_path / "rows")
+    rows = [(k, "odi-m", "a") for k in range(200)]
+    publish.publish(spark, root, table(spark, rows), ["id"], buckets=16)
+    before = folders(spark, root)
+    assert len(before) == 16
+    changed = [(k, f, "b" if k == 77 else v) for k, f, v in rows]
+    assert counts(publish.publish(spark, root, table(spark, changed), ["id"])) == {"updated": 1, "unchanged": 199}
+    after = folders(spark, root)
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert {tuple(r) for r in publish.read_snapshot(spark, root).collect()} == set(changed)
+    publish.publish(spark, root, table(spark, [r for r in changed if r[0] != 77]), ["id"])
+    assert publish.read_snapshot(spark, root).count() == 199
+    gone = publish.drop_unused(spark, root, keep=1)
+    assert len(gone) == 1 and publish.read_snapshot(spark, root).count() == 199  # the first folder still holds most buckets
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "rows")
+    publish.publish(spark, root, table(spark, [(1, "odi-m", "a")]), ["id"])
+    stale = publish.current(spark, root)
+    publish.publish(spark, root, table(spark, [(1, "odi-m", "b")]), ["id"])
+    with pytest.raises(publish.Conflict):
+        publish.publish(spark, root, table(spark, [(1, "odi-m", "c")]), ["id"], seen=stale["version"])
+    monkeypatch.setattr(publish, "current", lambda *_: stale)  # both began before either had switched
+    with pytest.raises(publish.Conflict):
+        publish.publish(spark, root, table(spark, [(1, "odi-m", "d")]), ["id"])
+    monkeypatch.undo()
+    assert [r.v for r in publish.read_snapshot(spark, root).collect()] == ["b"]
+    assert publish.current(spark, root)["version"] == 2
+
+
+def test_a_version_cut_short_changes_nothing(spark, tmp_path):
+    root = tmp_path / "rows"
+    publish.publish(spark, str(root), table(spark, [(1, "odi-m", "a")]), ["id"])
+    (root / "_versions" / "000000002.json").write_text('{"version": 2, "fold')
+    assert publish.read_snapshot(spark, str(root)).count() == 1
+    publish.publish(spark, str(root), table(spark, [(1, "odi-m", "b")]), ["id"])
+    assert publish.current(spark, str(root))["version"] == 3 and publish.read_snapshot(spark, str(root)).first().v == "b"
+
+
+def test_null_keys_new_columns_and_kept_rows(spark, tmp_path):
+    root = str(tmp_path / "rows")
+    publish.publish(spark, root, table(spark, [(None, "odi-m", "a"), (1, None, "b"), (2, "odi-m", None)]), ["id"], buckets=4)
+    same = table(spark, [(None, "odi-m", "a"), (1, None, "b"), (2, "odi-m", None)])
+    assert counts(publish.publish(spark, root, same, ["id"])) == {"unchanged": 3}
+    wider = spark.createDataFrame([(1, None, "b", 5), (3, "odi-m", "c", 6)], "id int, format_key string, v string, w int")
+    assert counts(publish.publish(spark, root, wider, ["id"], deletes=False)) == {"updated": 1, "inserted": 1, "unchanged": 2}
+    assert {tuple(r) for r in publish.read_snapshot(spark, root).collect()} == {
+        (None, "odi-m", "a", None), (1, None, "b", 5), (2, "odi-m", None, None), (3, "odi-m", "c", 6)}
+    assert counts(publish.publish(spark, root, wider, ["id"], deletes=False)) == {"unchanged": 4}
+
+
 def test_only_live_data_is_published():
     publish.assert_live("live")
     with pytest.raises(ValueError):

@@ -83,6 +83,25 @@ def test_ingest_takes_new_and_revised_files_once(spark, tmp_path):
     assert run() == {"m1": 1, "m2": 5, "m3": 3}
 
 
+def test_one_revised_match_rewrites_one_bucket(spark, tmp_path):
+    people = {"A": "a", "B": "b", "X": "x"}
+    doc = lambda n: match(innings("India", [ball("A", "X", "B", 1)] * n), people=people)
+    folder, root, check = tmp_path / "in", str(tmp_path / "balls"), str(tmp_path / "ckpt")
+
+    def run():
+        stream = ingest.document_stream(spark, str(folder), "odi")
+        ingest.ingest(stream, root, check, lambda d: documents.flatten(d).select("match_id", "innings", "seq"), ["match_id", "innings", "seq"], buckets=8).awaitTermination(120)
+        return publish.current(spark, root)["folders"]
+
+    save(folder, **{f"m{k}": doc(2) for k in range(20)})
+    before = run()
+    time.sleep(1.1)
+    (folder / "m7.r2.json").write_text(json.dumps(doc(3)))
+    after = run()
+    assert len(before) > 4 and sum(before.get(b) != after[b] for b in after) == 1
+    assert publish.read_snapshot(spark, root).groupBy("match_id").count().where("match_id = 'm7'").first()["count"] == 3
+
+
 def test_streamed_documents_give_the_deliveries_of_a_batch(spark, tmp_path):
     people = {"A": "a", "B": "b", "X": "x"}
     doc = lambda n: match(innings("India", [ball("A", "X", "B", 1)] * n), people=people)
