@@ -24,6 +24,8 @@ def session(app: str = "overstats", master: str | None = None, **conf: str) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Typed state of streams, with timers, is kept in RocksDB.
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # Recording a Python call site for every column costs more than planning.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

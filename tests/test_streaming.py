@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from overstats.operators import state
@@ -17,9 +18,29 @@ from tests.hand import ball, innings, match, save
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_live_state_equals_batch_with_late_and_repeated_balls(spark, tmp_path):
+SCHEMA = "match_id string, innings int, seq int, is_legal int, team_wickets bigint, runs_total bigint, penalty_pre bigint, max_balls int"
+
+
+def arrive(spark, folder, match, *seqs, limit=120):
+    rows = [(match, 1, k, 1, 0, k, 0, limit) for k in seqs]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(str(folder))
+
+
+@pytest.fixture
+def quiet(spark):
+    """No batches without data: with timers they would follow each other without end."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def started(spark, tmp_path, frame, name):
+    return frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name))
+
+
+def test_live_state_equals_batch_with_late_and_repeated_balls(spark, tmp_path, quiet):
     tables = Tables(spark, FOLDER)
-    rows = live.feed(tables.deliveries)
+    rows = live.feed(tables.mixed, {"t20i": 120, "odi": 300, "test": None})
     folder = tmp_path / "feed"
     late = (F.col("seq") % 7 == 3) & (F.col("match_id").cast("int") % 2 == 0)
     # First file lacks some balls; the second brings them, with repeats.
@@ -27,38 +48,63 @@ def test_live_state_equals_batch_with_late_and_repeated_balls(spark, tmp_path):
     time.sleep(1.1)
     rows.where(late | (F.col("seq") % 11 == 0)).coalesce(1).write.mode("append").json(str(folder))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(str(folder))
-    query = live.live_states(stream, 120).writeStream.format("memory").queryName("live").outputMode(
-        "append").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    query = started(spark, tmp_path, live.live_states(stream), "live").trigger(availableNow=True).start()
     query.awaitTermination(240)
     cols = ("match_id", "innings", "seq", "balls_left", "wickets", "runs")
     got = {tuple(r) for r in spark.table("live").select(*cols).collect()}
-    batch = state.replay_states(tables.deliveries, F.lit(120)).withColumn(
-        "match_id", F.col("match_id").cast("string"))
-    assert got == {tuple(r) for r in batch.select(*cols).collect()}
+    limit = F.when(F.col("fmt") == "odi", 300).when(F.col("fmt") == "t20i", 120)
+    played = tables.mixed.select("match_id", "innings", "seq", limit.alias("limit"))
+    batch = state.replay_states(tables.mixed, F.lit(0)).join(played, ["match_id", "innings", "seq"]).withColumns(
+        {"match_id": F.col("match_id").cast("string"), "balls_left": F.col("limit") + F.col("balls_left")})
+    want = {tuple(r) for r in batch.select(*cols).collect()}
+    assert {r for r in got if r[1] <= 2} == want and len({r[3] is None for r in got}) == 2
     assert spark.table("live").count() == len(got)
 
 
-def test_a_gap_closes_after_a_time_out(spark, tmp_path):
-    schema = "match_id string, innings int, seq int, is_legal int, team_wickets bigint, runs_total bigint, penalty_pre bigint"
+def test_a_gap_closes_after_a_time_out(spark, tmp_path, quiet):
     folder = tmp_path / "feed"
-    arrive = lambda match, *seqs: spark.createDataFrame([(match, 1, k, 1, 0, k, 0) for k in seqs], schema).coalesce(1).write.mode("append").json(str(folder))
-    arrive("m", 1, 2, 4, 5)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else batches without end
-    query = live.live_states(spark.readStream.schema(schema).json(str(folder)), 120, idle="1 second").writeStream.format("memory").queryName("gap").outputMode(
-        "append").option("checkpointLocation", str(tmp_path / "ckpt")).start()
+    arrive(spark, folder, "m", 1, 2, 4, 5)
+    frame = live.live_feed(spark.readStream.schema(SCHEMA).json(str(folder)), idle="1 second", patience="1 hour")
+    query = started(spark, tmp_path, frame, "gap").start()
     try:
         query.processAllAvailable()
         for other in ("n", "o"):  # batches in which m times out
             time.sleep(2)
-            arrive(other, 1)
+            arrive(spark, folder, other, 1)
             query.processAllAvailable()
-        arrive("m", 2, 3, 6)
+        arrive(spark, folder, "m", 2, 3, 6)
         query.processAllAvailable()
     finally:
         query.stop()
-        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = spark.table("gap").where("match_id = 'm'").collect()
     assert sorted((r.seq, r.balls_left, r.runs) for r in got) == [(1, 119, 1), (2, 118, 3), (3, 117, 6), (4, 116, 10), (5, 115, 15), (6, 114, 21)]
+    assert {r.kind for r in got} == {"state"}
+
+
+def test_what_is_over_goes_and_late_balls_come_out_beside(spark, tmp_path, quiet):
+    folder = tmp_path / "feed"
+    arrive(spark, folder, "done", 1, 2)
+    arrive(spark, folder, "torn", 1, 3, 4, limit=None)
+    frame = live.live_feed(spark.readStream.schema(SCHEMA).json(str(folder)), idle="1 second", patience="3 seconds")
+    query = started(spark, tmp_path, frame, "over").start()
+    try:
+        query.processAllAvailable()
+        for other in ("n", "o", "p"):
+            time.sleep(2)
+            arrive(spark, folder, other, 1)
+            query.processAllAvailable()
+        rows = lambda name: sorted((r.seq, r.balls_left, r.runs, r.kind) for r in spark.table("over").where(f"match_id = '{name}'").collect())
+        assert rows("done") == [(1, 119, 1, "state"), (2, 118, 3, "state")]
+        assert rows("torn") == [(1, None, 1, "state"), (3, None, 3, "late"), (4, None, 4, "late")]
+        arrive(spark, folder, "done", 2, 3)  # a repeat, and one that comes when all is over
+        arrive(spark, folder, "torn", 1, 2)
+        query.processAllAvailable()
+        assert rows("done") == [(1, 119, 1, "state"), (2, 118, 3, "state"), (3, None, 3, "late")]
+        assert rows("torn")[1] == (2, None, 2, "late")
+    finally:
+        query.stop()
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "over")).option("stateVarName", "totals").load()
+    assert not {"done", "torn"} & {r.key.match_id for r in kept.select("key").collect()}
 
 
 def test_ingest_takes_new_and_revised_files_once(spark, tmp_path):
