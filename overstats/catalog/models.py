@@ -109,10 +109,11 @@ CURVES = {
       FROM trace WHERE innings = 1 AND first_complete GROUP BY 1, 2""",
     "grid": """SELECT i, POW(CAST(10 AS DOUBLE), CAST(-4 AS DOUBLE) + CAST(3 AS DOUBLE) * i / CAST(399 AS DOUBLE)) AS b
       FROM (SELECT UNNEST(GENERATE_SERIES(0, 399)) AS i)""",
+    "points": """SELECT w, i, b, n, y, 1 - EXP(-b * u) AS g FROM mom, grid""",
     "fitted": """SELECT w, ARG_MIN(z, err) AS z, ARG_MIN(b, err) AS b, MAX(k) AS k FROM (
-      SELECT w, i, b, k, z, syy - 2 * z * num + z * z * den AS err FROM (SELECT *, num / den AS z FROM (
-       SELECT w, i, b, COUNT(*) AS k, SUM(n * y * (1 - EXP(-b * u))) AS num, SUM(n * (1 - EXP(-b * u)) * (1 - EXP(-b * u))) AS den,
-        SUM(n * y * y) AS syy FROM mom, grid GROUP BY 1, 2, 3))) GROUP BY w HAVING MAX(k) >= 3""",
+      SELECT w, i, b, z, COUNT(*) AS k, SUM(n * (y - z * g) * (y - z * g)) AS err FROM points
+       JOIN (SELECT w, i, SUM(n * y * g) / SUM(n * g * g) AS z FROM points GROUP BY 1, 2) USING (w, i) GROUP BY 1, 2, 3, 4)
+      GROUP BY w HAVING MAX(k) >= 3""",
     "curves": """SELECT v.w, COALESCE(LAST_VALUE(z IGNORE NULLS) OVER (ORDER BY v.w), 0) AS z,
       COALESCE(LAST_VALUE(b IGNORE NULLS) OVER (ORDER BY v.w), CAST(0.01 AS DOUBLE)) AS b
       FROM (SELECT UNNEST(GENERATE_SERIES(0, 9)) AS w WHERE (SELECT COUNT(*) FROM mom) > 0) v LEFT JOIN fitted f ON f.w = v.w""",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices a group is cut into at least when its values are ranked.
-SLICES = 64
+from overstats.session import materialise
+
+#: Ranges of (group, value) that ranked values are dealt into, unless there are more shuffle partitions.
+RANGES = 16
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
@@ -27,39 +30,33 @@ def pool_ranks(values: DataFrame, keys: Sequence[str], value: str,
     """For each distinct value of a group: how many are below it, tie, and in all.
 
     With ``pool`` (a boolean column) only those rows are counted, but every
-    value gets its ranks. Exact, and no task ever holds a whole group: values
-    are folded to (value, count) first; approximate cut points then slice each
-    group, the slices' totals are added up, and each slice is ranked on its
-    own. The cut points only balance the work: any cuts give the same ranks.
+    value gets its ranks. Null values have none. Exact, and no task holds more
+    of a group than its share of all rows: values are folded to (value, count),
+    dealt by ranges of (group, value) and numbered by range. A group within one
+    range is ranked on its own. Of the others, two a range at most, each piece is
+    ranked on its own and lifted by the counts of the pieces before it, which
+    are few enough to go to every task.
     """
     keys = list(keys)
+    spark = values.sparkSession
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     member = F.lit(1) if pool is None else F.when(F.col(pool), 1)
-    counted = values.groupBy(*keys, value).agg(F.count(member).alias("ties"))
-    slices = max(SLICES, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marks = [i / slices for i in range(1, slices)]
-    cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, marks, F.lit(16 * slices)).alias("_cuts")
-    )
-    sliced = counted.join(cuts, keys).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda x: x < F.col(value)))
-    ).drop("_cuts")
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("ties").alias("_in_slice"))
+    counted = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(member).alias("ties"))
+    ranged = materialise(counted.repartitionByRange(ranges, *keys, value).withColumn("_range", F.spark_partition_id()), "ranges")
     group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumns(
-        {
-            "_offset": F.coalesce(F.sum("_in_slice").over(earlier), F.lit(0)),
-            "n": F.sum("_in_slice").over(group),
-        }
-    ).drop("_in_slice")
-    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return sliced.withColumn(
-        "_below", F.coalesce(F.sum("ties").over(inside), F.lit(0))
-    ).join(offsets, [*keys, "_slice"]).select(
-        *keys, value, (F.col("_offset") + F.col("_below")).alias("below"), "ties", "n"
-    )
+    before = Window.unboundedPreceding, -1
+    pieces = ranged.groupBy(*keys, "_range").agg(F.sum("ties").alias("_in_piece")).withColumns({
+        "_pieces": F.count(F.lit(1)).over(group), "n": F.sum("_in_piece").over(group),
+        "_lift": F.coalesce(F.sum("_in_piece").over(group.orderBy("_range").rowsBetween(*before)), F.lit(0)),
+    }).where("_pieces > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), "_lift", "n")
+    pieces = F.broadcast(materialise(pieces, "pieces"))  # a range has a first and a last group: two rows a range at most
+    own = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_range") == F.col("_of"))
+    inside = Window.partitionBy("_range", *keys).orderBy(value).rowsBetween(*before)
+    split = ranged.join(pieces, own).repartitionByRange(ranges, "_range").select(
+        *keys, value, (F.col("_lift") + F.coalesce(F.sum("ties").over(inside), F.lit(0))).alias("below"), "ties", "n")
+    whole = ranged.join(pieces, own, "left_anti").select(
+        *keys, value, F.coalesce(F.sum("ties").over(group.orderBy(value).rowsBetween(*before)), F.lit(0)).alias("below"), "ties", F.sum("ties").over(group).alias("n"))
+    return whole.unionByName(split)
 
 
 def mid_rank(below: Column, ties: Column, n: Column, higher_is_better: Column) -> Column:

@@ -38,6 +38,21 @@ def test_ranks_match_bisection_with_ties_and_outsiders(spark):
     assert seen == len(rows)
 
 
+def test_no_task_holds_more_than_its_share_of_a_hot_group(spark):
+    rows = [("hot", float(k)) for k in range(20_000)] + [(f"g{k % 50}", float(k)) for k in range(400)] + [(None, 1.0), ("hot", None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ranking.pool_ranks(spark.createDataFrame(rows, "g string, v double").repartition(8), ("g",), "v")
+        tasks = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(tasks) <= 2 * 20_401 / ranking.RANGES
+        assert {(r.v, r.below, r.n) for r in ranked.where("g = 'hot'").collect()} == {(float(k), k, 20_000) for k in range(20_000)}
+        assert ranked.where("g is null").select("below", "ties", "n").collect() == [(0, 1, 1)]
+        plan = ranked._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_quantiles_interpolate(spark):
     rows, df = sample(spark)
     points = (0.1, 0.25, 0.5, 0.75, 0.9)
