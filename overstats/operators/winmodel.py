@@ -10,6 +10,7 @@ and only 20 sums per model reach the driver for the 5x5 solve.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -409,6 +410,25 @@ def par_total() -> Column:
     )
 
 
+def _win_row(mean: pd.Series, var: pd.Series, wins: pd.Series) -> pd.Series:
+    """:func:`batting_first_win` for all runs so far, given mean and variance of the further ones."""
+    out = []
+    for further, spread, p in zip(mean, var, wins):
+        p = np.asarray(p)
+        top, runs = len(p) - 1, np.arange(len(p))
+        at_mean = p[np.minimum(np.rint(runs + further).astype(int), top)]
+        if spread > 0.25:
+            sd = np.sqrt(spread)
+            centre = (runs + further)[:, None]
+            total = runs[:, None] + np.arange(int(further + 4 * sd) + 3)
+            inside = (total >= np.trunc(centre - 4 * sd)) & (total <= np.minimum(top, np.trunc(centre + 4 * sd) + 1))
+            weight = np.where(inside, np.exp(-0.5 * ((total - centre) / sd) ** 2), 0.0)
+            sums = weight.sum(1)
+            at_mean = np.where(sums > 0, (weight * p[np.minimum(total, top)]).sum(1) / np.where(sums > 0, sums, 1), at_mean)
+        out.append(at_mean)
+    return pd.Series(out)
+
+
 def with_win_grid(model: DataFrame) -> DataFrame:
     """``model`` plus ``win_grid``: P(side batting first wins) of every first-innings state.
 
@@ -419,8 +439,8 @@ def with_win_grid(model: DataFrame) -> DataFrame:
     partitions = int(model.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     states = model.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn(
         "_u", F.explode(F.sequence(F.lit(0), c("max_balls").cast("int")))).repartition(4 * partitions, "format_key", "_w", "_u")
-    totals = F.sequence(F.lit(0), F.size("first_innings_win") - 1)
-    rows = states.select("format_key", "_w", "_u", F.transform(totals, lambda r: batting_first_win(c("_u"), c("_w"), r)).alias("_row"))
+    win_row = F.pandas_udf(_win_row, "array<double>")
+    rows = states.select("format_key", "_w", "_u", win_row(expected(c("_u"), c("_w")), variance(c("_u"), c("_w")), c("first_innings_win")).alias("_row"))
     grid = rows.groupBy("format_key").agg(F.sort_array(F.collect_list(F.struct("_w", "_u", "_row"))).alias("_rows")).select(
         "format_key", F.flatten(F.transform("_rows", lambda x: x["_row"])).alias("win_grid"))
     return model.join(grid, "format_key")
