@@ -300,13 +300,77 @@ def win_models(t):
         "states", "brier", "baseline_brier", (c("brier") < 1).alias("is_probability"))
 
 
-@query()
+DISPERSED = RESOURCES | {
+    "disp": """SELECT w, COALESCE(LAST_VALUE(d IGNORE NULLS) OVER (ORDER BY w), 1) AS d FROM (
+      SELECT v.w, CASE WHEN den > 0 THEN num / den END AS d FROM (SELECT DISTINCT w FROM res) v LEFT JOIN (
+       SELECT m.w, SUM(syy - n * y * y) AS num, SUM(n * resource) AS den FROM mom m JOIN res USING (w, u) GROUP BY 1) q ON q.w = v.w)""",
+}
+
+
+def _chase(u: str, w: str, need: str, res: str) -> str:
+    x, f = f"LN({need} / GREATEST({res}, {D(0.5)}))", f"({u} / {D(120)})"
+    z = f"({D(THETA[0])} + {D(THETA[1])} * {x} + {D(THETA[2])} * {x} * {f} + {D(THETA[3])} * {f} + {D(THETA[4])} * {x} * {w} / {D(10)})"
+    return f"{D(1)} / ({D(1)} + EXP(-{z}))"
+
+
+TABLED = DISPERSED | {
+    "fiw": f"SELECT n AS t, {D(1)} - {_chase('120', '0', '(n + 1)', 'resource')} AS p FROM (SELECT UNNEST(GENERATE_SERIES(0, 600)) AS n), (SELECT resource FROM res WHERE u = 120 AND w = 0)",
+}
+
+
+def _half_fitted(t):
+    """Resources and dispersions of the matches, with given chase weights: all that SQL can work out too."""
+    weighted = materialise(winmodel.weighted_moments(winmodel.first_innings_moments(_traces(t))), "moments")
+    table = materialise(winmodel.resource_table(winmodel.fit_curves(weighted)), "resources")
+    theta = {(r.format_key, r.candidate): THETA for r in table.select(*winmodel.MODEL).distinct().collect()}
+    return winmodel.model_table(table, winmodel.dispersions(weighted, table), theta)
+
+
+@query(sql(f"SELECT CAST(t AS BIGINT) AS total, {BILLION('p')} AS p_e9 FROM fiw", "trace", extra=TABLED))
+def first_innings_table(t):
+    """P(side batting first wins) for every total, from fitted resources."""
+    return _half_fitted(t).select(F.posexplode("first_innings_win").alias("total", "p")).select("total", billion(F.col("p")).alias("p_e9"))
+
+
+@query(sql(f"""SELECT 't20i-m' AS format_key, CAST(probe AS BIGINT) AS probe, CAST(u AS BIGINT) AS balls_left, CAST(w AS BIGINT) AS wickets, CAST(r AS BIGINT) AS runs, CAST(need AS BIGINT) AS need,
+ {MILLION('chase')} AS chase_e6, {MILLION('CASE WHEN var <= 0.25 THEN (SELECT p FROM fiw WHERE t = LEAST(ROUND_EVEN(mean, 0), 600)) ELSE integ END')} AS first_e6,
+ {MILLION('mean')} AS projected_e6, {MILLION('GREATEST(r, mean - 1.2816e0 * SQRT(var))')} AS low_e6, {MILLION('mean + 1.2816e0 * SQRT(var)')} AS high_e6
+FROM (SELECT s.*, {_chase('u', 'w', 'need', 'resource')} AS chase,
+  (SELECT SUM(EXP({D(-0.5)} * POW((t - mean) / SQRT(var), 2)) * p) / SUM(EXP({D(-0.5)} * POW((t - mean) / SQRT(var), 2)))
+   FROM fiw WHERE t BETWEEN GREATEST(r, TRUNC(mean - 4 * SQRT(var))) AND LEAST(600, TRUNC(mean + 4 * SQRT(var)) + 1)) AS integ
+ FROM (SELECT g.*, resource, r + resource AS mean, d * resource AS var FROM golden g JOIN res USING (w, u) JOIN disp USING (w)) s)""", "trace", extra=TABLED | {
+    "golden": f"""SELECT probe, u, w, CAST(TRUNC((120 - u) * ({D(0.9)} + (probe % 5) * {D(0.12)})) AS INT) AS r, 1 + (probe * 13) % 108 AS need
+      FROM (SELECT probe, CAST(TRUNC(120 * ((probe * 37) % 100) / {D(100)}) AS INT) + 1 AS u, (probe * 7) % 10 AS w FROM (SELECT UNNEST(GENERATE_SERIES(0, 59)) AS probe))"""}))
 def golden_probes(t):
-    """Probes of the model fitted on all usable matches."""
+    """Probes of a model whose resources are fitted on all usable matches."""
+    c = F.col
+    whole = lambda k, n: F.floor(c(k) * F.lit(1e6) + F.lit(0.5)).alias(f"{n}_e6")
+    return winmodel.golden_states(_half_fitted(t)).select(
+        "format_key", "probe", "balls_left", "wickets", "runs", "need", whole("chase", "chase"), whole("batting_first", "first"),
+        whole("projected", "projected"), whole("projected_low", "low"), whole("projected_high", "high"))
+
+
+BINNED = RESOURCES | {
+    "binned": f"""SELECT COUNT(*) AS trials, COUNT(CASE WHEN NOT batting_first_won THEN 1 END) AS wins, AVG(x) AS x1, AVG(x * u / {D(120)}) AS x2, AVG(u / {D(120)}) AS x3, AVG(x * w / {D(10)}) AS x4
+      FROM (SELECT *, LN((target - r) / GREATEST(resource, CAST(0.5 AS DOUBLE))) AS x FROM trace t JOIN res USING (w, u)
+       WHERE innings = 2 AND batting_first_won IS NOT NULL AND target - r > 0 AND w < 10 AND u > 0) GROUP BY u // 6, w, CAST(ROUND_EVEN(x / CAST(0.05 AS DOUBLE), 0) AS BIGINT)""",
+}
+
+
+@query(sql("""SELECT CAST(i AS BIGINT) AS feature, CAST(FLOOR(moment * 1e3 + 0.5) AS BIGINT) AS moment_e3, trials FROM (
+ SELECT i, SUM(wins * list_extract([1, x1, x2, x3, x4], i + 1)) AS moment, CAST(SUM(trials) AS BIGINT) AS trials
+ FROM binned, (SELECT UNNEST(GENERATE_SERIES(0, 4)) AS i) GROUP BY 1)""", "trace", extra=BINNED))
+def fit_gradients(t):
+    """Proof of the fit: the penalised loss is convex, and its gradient is zero where what the weights expect of each
+    feature, with the ridge's pull, is what was seen. Here what they expect; the SQL adds up what was seen."""
+    c = F.col
     traces = materialise(_traces(t), "traces")
-    model = winmodel.fit(winmodel.first_innings_moments(traces), winmodel.chase_counts(traces),
-                         rounded=True)
-    return winmodel.golden_states(model)
+    weighted = materialise(winmodel.weighted_moments(winmodel.first_innings_moments(traces)), "moments")
+    table = winmodel.resource_table(winmodel.fit_curves(weighted))
+    bins = materialise(winmodel.feature_bins(winmodel.chase_counts(traces), table), "bins")
+    theta = winmodel.fit_logistic(bins)
+    expected = winmodel.expected_moments(bins, theta)
+    return expected.select("feature", F.floor(c("moment") * F.lit(1e3) + F.lit(0.5)).alias("moment_e3"), c("trials").cast("bigint").alias("trials"))
 
 
 @query(sql(f"""SELECT format_key, COUNT(*) AS matches, {n_if('batting_first_won')} AS won_first, {n_if('batting_first_won IS NULL')} AS tied

@@ -229,10 +229,33 @@ def replay_documents(t):
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-@query()
+FILES = """SELECT COALESCE(source, '') AS archive, SHA256(doc_id || '.json' || CHR(9) || SHA256(COALESCE(text, '')) || CHR(9) || COALESCE(LENGTH(text), 0)) AS hash FROM documents"""
+
+
+def _files(t):
+    body = F.coalesce("text", F.lit(""))
+    return t.table("documents").select(
+        F.coalesce("source", F.lit("")).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"),
+        F.sha2(body, 256).alias("checksum"), F.length(body).alias("size"))
+
+
+@query(f"""SELECT archive, CAST(SUM(files) AS BIGINT) AS files, SHA256(STRING_AGG(node || CHR(9) || digest, CHR(10) ORDER BY node)) AS sha256 FROM (
+ SELECT archive, SUBSTR(hash, 1, 2) AS node, SUM(n) AS files, SHA256(STRING_AGG(hash || CHR(9) || n, CHR(10) ORDER BY hash)) AS digest
+ FROM (SELECT archive, hash, COUNT(*) AS n FROM ({FILES}) GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1""")
 def fingerprints(t):
-    """A digest per source of its documents' names, checksums and sizes."""
-    entries = t.table("documents").select(
-        F.col("source").alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name"),
-        F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("size"))
-    return prints.fingerprint(entries)
+    """A digest per source of its documents' names, checksums and sizes, over a tree of two levels."""
+    return prints.fingerprint(_files(t), digits=2)
+
+
+@query(f"""SELECT 'sha256:' || SHA256(STRING_AGG(archive || CHR(9) || sha256, CHR(10) ORDER BY archive)) AS fingerprint FROM (
+ SELECT archive, SHA256(STRING_AGG(hash || CHR(9) || n, CHR(10) ORDER BY hash)) AS sha256
+ FROM (SELECT archive, hash, COUNT(*) AS n FROM ({FILES}) GROUP BY 1, 2) GROUP BY 1)""")
+def input_fingerprint(t):
+    """One digest of all documents, over leaves that hold an archive each."""
+    return prints.combined(prints.fingerprint(_files(t), digits=0))
+
+
+@query("SELECT COALESCE(MAX(ts), TIMESTAMP '1970-01-01 00:00:00') AS generated_at FROM events")
+def generated_at(t):
+    """The dataset's time is that of its newest input."""
+    return prints.generated_at(t.table("events").select(F.col("ts").alias("modified_at")))

@@ -298,6 +298,19 @@ def fit_logistic(bins: DataFrame, iterations: int = 50, tolerance: float = 1e-8)
     return theta
 
 
+def expected_moments(bins: DataFrame, theta: dict, ridge: float = C.RIDGE) -> DataFrame:
+    """What fitted weights expect of each feature over all trials, with the ridge's pull: at the optimum the wins' own sums."""
+    c = F.col
+    rows = bins.sparkSession.createDataFrame(
+        [(k[0], k[1], [float(v) for v in t]) for k, t in sorted(theta.items())], "format_key string, candidate int, theta array<double>")
+    dot = sum((F.get("theta", F.lit(i)) * c(f"x{i}") for i in range(1, 5)), F.get("theta", F.lit(0)) * c("x0"))
+    at = bins.join(rows, list(MODEL)).withColumn("expected", c("trials") * sigmoid(dot))
+    sums = at.groupBy(*MODEL).agg(
+        F.sum("trials").alias("trials"), F.first("theta").alias("theta"), *[F.sum(c("expected") * c(f"x{i}")).alias(f"_{i}") for i in range(5)])
+    each = F.array(*[F.struct(F.lit(i).alias("feature"), (c(f"_{i}") + F.lit(ridge) * F.get("theta", F.lit(i))).alias("moment")) for i in range(5)])
+    return sums.select(*MODEL, "trials", F.inline(each))
+
+
 # ---------------------------------------------------------------------------
 # The model as a table: one row per format and candidate
 # ---------------------------------------------------------------------------

@@ -124,6 +124,19 @@ def test_fingerprint_ignores_folders_and_sees_content(spark, tmp_path):
     assert digest(one) == digest(two) != digest(changed)
 
 
+def test_fingerprint_trees_of_any_depth_tell_archives_apart(spark, monkeypatch):
+    rows = [("a", f"f{k}", "c", k % 7) for k in range(600)] + [("a", "twice", "c", 1)] * 3 + [("b", "f1", "c", 1)]
+    table = lambda r: spark.createDataFrame(r, "archive string, name string, checksum string, size long")
+    digests = lambda r: {x.archive: (x.files, x.sha256) for x in fingerprint.fingerprint(table(r)).collect()}
+    flat = digests(rows)
+    assert flat["a"][0] == 603 and flat["b"][0] == 1
+    monkeypatch.setattr(fingerprint, "LEAF", 1)  # several levels
+    deep = digests(rows)
+    assert deep == digests(rows[::-1]) and deep["a"][1] != flat["a"][1]
+    assert digests(rows[:-1] + [("b", "f1", "c", 2)])["a"] == deep["a"]
+    assert digests(rows[1:])["a"] != deep["a"] and digests([*rows, rows[601]])["a"] != deep["a"]
+
+
 def test_styles_file_with_a_comment_header(spark, tmp_path):
     path = tmp_path / "styles.csv"
     path.write_text("# about\n# more\nname,bowling_type,batting_hand,role,country,cricinfo_id,source\n"
