@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from overstats.catalog.base import query, ratio, sql
 from overstats.catalog.players import (
-    bat_innings, bat_overall, bat_splits, bowl_innings, bowl_overall, bowl_splits,
+    bat_innings, bat_overall, bat_splits, bowl_innings, bowl_overall, bowl_splits, careers_table,
 )
 from overstats.functions import rates
 from overstats.operators import cohort, players, ranking
 from overstats.session import materialise
+from overstats.sources import sinks
 
 METRIC = {
     "average": ratio("runs", "{o}"),
@@ -229,3 +230,49 @@ def split_moments(t):
     n = rows.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
     return out.join(n, "dimension").select(
         "dimension", "n", whole("mean").alias("mean_e6"), whole("stdev").alias("stdev_e6"), "median")
+
+
+def _named(t):
+    """People under invented names."""
+    return players.squads_from_deliveries(t.deliveries).select("person_id").distinct().withColumn("name", F.concat(F.lit("Player "), F.col("person_id")))
+
+
+def _documents(t):
+    splits, cuts = materialise(bat_splits(t), "splits"), materialise(bowl_splits(t), "splits")
+    overall = players.batting_overall(bat_innings(t), players.whole(splits))
+    return sinks.player_documents(
+        _named(t), careers_table(t, False), splits, cuts, cohort.claims(cohort.judged_splits(splits, "batting")),
+        cohort.profiles(splits, overall, "batting"))
+
+
+SECTIONS = {
+    "docs": f"""SELECT c.person_id, c.format_key, 'Player ' || c.person_id AS name, TRIM(REGEXP_REPLACE(LOWER('Player ' || c.person_id), '[^a-z0-9]+', '-', 'g'), '-') || '-' || SUBSTR(c.person_id, 1, 8) AS slug,
+      CAST(matches AS BIGINT) AS matches, c.runs, wickets, COALESCE(a.n, 0) AS n_batting, COALESCE(a.balls, 0) AS batting_balls, a.top AS first_batting, COALESCE(b.n, 0) AS n_bowling, COALESCE(b.balls, 0) AS bowling_balls,
+      COALESCE(d.n, 0) AS n_claims, d.top AS first_claim, COALESCE(e.n, 0) AS n_axes, e.top AS axes FROM car c
+      LEFT JOIN (SELECT person_id, format_key, COUNT(*) AS n, CAST(SUM(balls) AS BIGINT) AS balls, MIN(dimension || '|' || subject) AS top FROM bs WHERE dimension <> 'all' GROUP BY 1, 2) a USING (person_id, format_key)
+      LEFT JOIN (SELECT person_id, format_key, COUNT(*) AS n, CAST(SUM(balls) AS BIGINT) AS balls FROM bws WHERE dimension <> 'all' GROUP BY 1, 2) b USING (person_id, format_key)
+      LEFT JOIN (SELECT person_id, format_key, COUNT(*) AS n, MIN(kind || '|' || rank) AS top FROM ({claims_sql("batting")}) GROUP BY 1, 2) d USING (person_id, format_key)
+      LEFT JOIN (SELECT person_id, format_key, COUNT(*) AS n, STRING_AGG(axis, ',' ORDER BY axis) AS top FROM ({profile_sql("batting")}) GROUP BY 1, 2) e USING (person_id, format_key)""",
+}
+
+
+@query(sql("SELECT * FROM docs", "car", extra=SECTIONS))
+def player_documents(t):
+    """Nested documents, seen by their sections' sizes, sums and first entries."""
+    c = F.col
+    balls = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x["balls"].cast("bigint"))
+    both = lambda part, x, y: F.array_min(F.transform(part, lambda r: F.concat(r[x], F.lit("|"), r[y].cast("string"))))
+    return _documents(t).select(
+        "person_id", "format_key", "name", "slug", "matches", "runs", "wickets", F.size("batting").alias("n_batting"), balls("batting").alias("batting_balls"),
+        both("batting", "dimension", "subject").alias("first_batting"), F.size("bowling").alias("n_bowling"), balls("bowling").alias("bowling_balls"),
+        F.size("claims").alias("n_claims"), both("claims", "kind", "rank").alias("first_claim"), F.size("profile").alias("n_axes"),
+        F.when(F.size("profile") > 0, F.array_join(F.array_sort(c("profile.axis")), ",")).alias("axes"))
+
+
+@query(sql("""SELECT person_id, MAX(name) AS name, MAX(slug) AS slug, MAX(COALESCE(runs, 0)) AS best_runs, STRING_AGG(format_key, ',' ORDER BY format_key) AS formats,
+ CAST(SUM(n_claims) AS BIGINT) AS claims, CAST(SUM(wickets) AS BIGINT) AS wickets FROM docs GROUP BY 1""", "car", extra=SECTIONS))
+def player_index(t):
+    """One small row per person over their documents."""
+    total = lambda field: F.aggregate("formats", F.lit(None).cast("bigint"), lambda a, x: F.when(x[field].isNull(), a).otherwise(F.coalesce(a, F.lit(0).cast("bigint")) + x[field].cast("bigint")))
+    return sinks.player_index(_documents(t)).select(
+        "person_id", "name", "slug", "best_runs", F.array_join(F.col("formats.format_key"), ",").alias("formats"), total("claims").alias("claims"), total("wickets").alias("wickets"))

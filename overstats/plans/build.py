@@ -35,6 +35,7 @@ KEYS = {
     "team_bowlers": ["team_id", "format_key", "rank"],
     "venues": ["venue_key", "format_key"], "replays": ["match_id"],
     "summary": ["format_key"],
+    "player_documents": ["person_id", "format_key"], "player_index": ["person_id"],
 }
 
 
@@ -114,6 +115,8 @@ def plan(documents: DataFrame, places: DataFrame, people: DataFrame,
         "replays": sinks.replay_documents(balls, rows, people),
         "summary": matches.format_summary(balls, seen),
     }
+    tables["player_documents"] = sinks.player_documents(tables["names"], careers, shown_bat, shown_bowl, claims, profiles)
+    tables["player_index"] = sinks.player_index(tables["player_documents"])
     return Build(tables, balls)
 
 

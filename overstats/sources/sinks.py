@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,27 +86,48 @@ def replay_index(replays: DataFrame, ranks: DataFrame) -> DataFrame:
     ).orderBy("featured_rank")
 
 
+def gather(sections: dict[str, DataFrame], key: str) -> DataFrame:
+    """One row per ``key`` with an array per section, each sorted, after a single shuffle of all sections' rows.
+
+    The sections' columns other than the key are put side by side as structs, one of them filled in each row. A key's rows
+    in all sections must fit a task.
+    """
+    shapes = {name: df.select(F.struct(*[c for c in df.columns if c != key]).alias(name)).schema[name].dataType for name, df in sections.items()}
+    tagged = []
+    for own, df in sections.items():
+        items = F.struct(*[c for c in df.columns if c != key])
+        tagged.append(df.select(key, *[(items if name == own else F.lit(None)).cast(kind).alias(name) for name, kind in shapes.items()]))
+    rows = functools.reduce(DataFrame.union, tagged)
+    return rows.groupBy(key).agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in sections])
+
+
 def player_documents(names: DataFrame, careers: DataFrame, bat_splits: DataFrame,
                      bowl_splits: DataFrame, claims: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One nested row per person and format.
+    """One nested row per person and format of their career.
 
-    Splits nest as arrays sorted by dimension and subject; head-to-heads are
-    cut to the published forty before they are nested.
+    Splits nest as arrays sorted by dimension and subject; a section without rows is empty. Tables are gathered by person in
+    one shuffle, which the game bounds, and then taken apart by format.
     """
-    keys = ["person_id", "format_key"]
-    nest = lambda df, name, *cols: df.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
-    bat = nest(bat_splits.where("dimension <> 'all'"), "batting", "dimension", "subject", "balls",
-               "runs", "outs", "fours", "sixes", "dots")
-    bowl = nest(bowl_splits.where("dimension <> 'all'"), "bowling", "dimension", "subject",
-                "balls", "runs", "wickets", "dots", "fours", "sixes")
-    traits = nest(claims, "claims", "kind", "rank", "dimension_key", "subject", "value",
-                  "percentile", "balls", "confidence")
-    axes = nest(profiles, "profile", "discipline", "axis", "value", "percentile", "balls")
-    out = careers.join(names.select("person_id", "name"), "person_id", "left")
-    for part in (bat, bowl, traits, axes):
-        out = out.join(part, keys, "left")
-    return out.withColumn("slug", text.person_slug(F.col("name"), F.col("person_id")))
+    career = [c for c in careers.columns if c not in ("person_id", "format_key")]
+    sections = {
+        "person": names.select("person_id", "name"), "career": careers.select("person_id", "format_key", *career),
+        "batting": bat_splits.where("dimension <> 'all'").select(
+            "person_id", "format_key", "dimension", "subject", "balls", "runs", "outs", "fours", "sixes", "dots"),
+        "bowling": bowl_splits.where("dimension <> 'all'").select(
+            "person_id", "format_key", "dimension", "subject", "balls", "runs", "wickets", "dots", "fours", "sixes"),
+        "claims": claims.select("person_id", "format_key", "kind", "rank", "dimension_key", "subject", "value", "percentile", "balls", "confidence"),
+        "profile": profiles.select("person_id", "format_key", "discipline", "axis", "value", "percentile", "balls"),
+    }
+    rows = gather(sections, "person_id").select("person_id", F.get("person", F.lit(0))["name"].alias("name"), F.inline("career"),
+                                                "batting", "bowling", "claims", "profile")
+
+    def own_part(part: str):
+        fields = [f for f in sections[part].columns if f not in ("person_id", "format_key")]
+        mine = F.filter(part, lambda x: x["format_key"] == F.col("format_key"))
+        return F.transform(mine, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+    own = {part: own_part(part) for part in ("batting", "bowling", "claims", "profile")}
+    return rows.withColumns(own | {"slug": text.person_slug(F.col("name"), F.col("person_id"))})
 
 
 def published_splits(splits: DataFrame, gate: int, versus: str, ranked: DataFrame) -> DataFrame:
