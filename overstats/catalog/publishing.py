@@ -10,7 +10,7 @@ from overstats.operators import matches as match_ops
 from overstats.operators import players, publish, quality, ranking, state, teams
 from overstats.session import materialise, scratch_dir
 from overstats.sources import fingerprint as prints
-from overstats.sources import sinks
+from overstats.sources import manifests, sinks
 
 
 def _old(rows):
@@ -145,6 +145,51 @@ def rekeyed(t):
     return publish.rekey_old(rows).select("p_partkey", "format_key")
 
 
+def _manifests(t):
+    """A build for each customer: every third of the first schema version, some without parts, as JSON texts."""
+    k = F.col("c_custkey")
+    day = F.concat(F.lit("20"), F.lpad((k % 23 + 1).cast("string"), 2, "0"), F.lit("-05-17"))
+    text = F.when(k % 3 == 0, F.format_string(
+        '{"generated":"%sT10:00:00","playerCount":%d,"formats":{"odi":{"label":"ODI","matches":%d,"players":7,"lastDate":"%s"},"test":null},"thresholds":{"minBallsSplit":%d}}',
+        day, k, k % 50, day, k % 9)).otherwise(F.format_string(
+            '{"schemaVersion":2,"buildId":"b%d","generated":"%sT10:00:00","fingerprint":"f%d","playerCount":%d,"matchCount":%d,'
+            '"formats":{"odi-w":{"formatKey":"odi-w","format":"odi","gender":"female","label":"ODI","matches":%d,"players":%d,"lastDate":"%s"},"bbl-m":{"formatKey":"bbl-m","format":"bbl","gender":"male","label":"BBL","matches":3}},'
+            '"thresholds":{"teamMinMatches":%d},"provenance":"live","phases":{"odi":[1,2]}}', k, day, k, k, k * 2, k % 40, k % 30, day, k % 6))
+    return t.table("customer").select(
+        k.cast("string").alias("run_id"), F.when(k % 40 == 7, "complete").otherwise("failed").alias("status"), (k * 7919 % 10007).alias("finished_at"), text.alias("manifest"))
+
+
+BUILDS = """SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_custkey AS k, c_custkey % 3 = 0 AS old, '20' || LPAD(CAST(c_custkey % 23 + 1 AS VARCHAR), 2, '0') || '-05-17' AS day,
+ CASE WHEN c_custkey % 40 = 7 THEN 'complete' ELSE 'failed' END AS status, c_custkey * 7919 % 10007 AS finished_at FROM customer"""
+NORMAL = f"""SELECT run_id, status, finished_at, day, CAST(CASE WHEN old THEN 1 ELSE 2 END AS BIGINT) AS version, CASE WHEN old THEN day || 'T10:00:00-v1' ELSE 'b' || k END AS build_id, day || 'T10:00:00' AS generated,
+ CASE WHEN NOT old THEN 'f' || k END AS fingerprint, k AS player_count, CASE WHEN NOT old THEN k * 2 END AS match_count,
+ CASE WHEN old THEN 5 ELSE k % 6 END AS team_min, CASE WHEN old THEN CAST(k % 9 AS DOUBLE) END AS split_min, CASE WHEN NOT old THEN '{{"odi":[1,2]}}' END AS phases, CASE WHEN NOT old THEN '"live"' END AS provenance,
+ CASE WHEN old THEN 'odi-m odi male ODI ' || (k % 50) || ' 7 ' || day ELSE 'bbl-m bbl male BBL 3 - -,odi-w odi female ODI ' || (k % 40) || ' ' || (k % 30) || ' ' || day END AS formats FROM ({BUILDS})"""
+PLAIN = "version, build_id, generated, fingerprint, player_count, match_count, CAST(team_min AS DOUBLE) AS team_min, CAST(3 AS DOUBLE) AS venue_min, split_min, phases, provenance, formats"
+
+
+def _plain(rows, *names):
+    fields = ("format_key", "format", "gender", "label", "matches", "players", "lastDate")
+    line = lambda f: F.concat_ws(" ", *[F.coalesce(f[x].cast("string"), F.lit("-")) for x in fields])
+    gate = lambda k: F.try_element_at("thresholds", F.lit(k))
+    return rows.select(
+        *names, "fingerprint", "player_count", "match_count", gate("teamMinMatches").alias("team_min"), gate("venueMinInnings").alias("venue_min"), gate("minBallsSplit").alias("split_min"),
+        "phases", "provenance", F.array_join(F.array_sort(F.transform(F.map_values("formats"), line)), ",").alias("formats"))
+
+
+@query(f"SELECT run_id, {PLAIN} FROM ({NORMAL})")
+def normalised_manifests(t):
+    """Manifests of two schema versions in one shape."""
+    return _plain(manifests.normalised(_manifests(t)), "run_id", "version", "build_id", "generated")
+
+
+@query(f"""SELECT {PLAIN.replace('version,', 'version AS schema_version,').replace('generated,', 'generated AS generated_at,')}, finished_at AS imported_at, day AS data_as_of FROM ({NORMAL})
+ WHERE status = 'complete' ORDER BY finished_at DESC, run_id DESC LIMIT 1""")
+def dataset_meta(t):
+    """The latest complete run as readers see it."""
+    return _plain(manifests.dataset_meta(_manifests(t)), "schema_version", "build_id", "generated_at", "imported_at", "data_as_of")
+
+
 def _damaged(t):
     m = F.col("match_id")
     return match_rows(t).withColumns({

@@ -55,18 +55,19 @@ def batting_hand(text: Column) -> Column:
 
 
 def bowling_family(code: Column) -> Column:
-    table = {k: spec[1] for k, spec in C.BOWLING_TYPES.items()}
+    table = {k: spec["family"] for k, spec in C.BOWLING_TYPES.items()}
     return text_lookup(code, table, F.lit(""))
 
 
 def bowling_label(code: Column) -> Column:
-    table = {k: spec[0] for k, spec in C.BOWLING_TYPES.items()}
+    table = {k: spec["label"] for k, spec in C.BOWLING_TYPES.items()}
     return text_lookup(code, table, F.lit("Unknown"))
 
 
 def matchup_note(code: Column, hand: Column) -> Column:
     """Which way the stock ball moves for this batter."""
-    into_right = text_lookup(code, {k: spec[3] for k, spec in C.BOWLING_TYPES.items()}) == "into"
+    moves = {k: spec.get("swing") or spec["turn"] for k, spec in C.BOWLING_TYPES.items()}
+    into_right = text_lookup(code, moves) == "into_rhb"
     into = F.when(hand == "right", into_right).when(hand == "left", ~into_right)
     pace = bowling_family(code) == "pace"
     return F.coalesce(

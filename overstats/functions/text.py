@@ -217,7 +217,7 @@ def subject_label(fmt: Column, dimension: Column, subject: Column) -> Column:
     """Readable name of a split subject."""
     from overstats.functions.flags import phase_label
 
-    types = {code: spec[0] for code, spec in C.BOWLING_TYPES.items()}
+    types = {code: spec["label"] for code, spec in C.BOWLING_TYPES.items()}
     return (
         F.when(dimension == "type", text_lookup(subject, types, F.lit("Unknown")))
         .when(dimension == "family", text_lookup(subject, C.FAMILY_LABELS, subject))
