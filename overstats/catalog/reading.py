@@ -10,9 +10,9 @@ from overstats.catalog.matches import RECORD, match_rows
 from overstats.catalog.models import given_model
 from overstats.catalog.players import TOTAL_RATES, TOTALS, careers_table
 from overstats.functions import text
-from overstats.operators import cohort, players, state, teams
+from overstats.operators import cohort, players, ranking, state, teams
 from overstats.plans import read
-from overstats.session import materialise
+from overstats.session import materialise, scratch_dir
 
 TEAM_LIST = "['India', 'Australia', 'England', 'Pakistan', 'South Africa', 'New Zealand', 'West Indies', 'Sri Lanka']"
 PEOPLE = f"""SELECT person_id, 'Player ' || SUBSTR(person_id, 2) AS name, n, list_extract({TEAM_LIST}, CAST(n % 8 + 1 AS INT)) AS country,
@@ -108,6 +108,33 @@ def head_to_head(t):
     return read.head_to_head(match_rows(t), "pakistan-m", "india-m", "t20i-m").select(*MATCH.split(", "))
 
 
+@query(sql(f"SELECT {', '.join(LIST)} FROM rows ORDER BY runs DESC NULLS LAST, name NULLS LAST, person_id LIMIT 20 OFFSET 20", "car", mixed=True, extra=JOINED))
+def players_after(t):
+    """The second page of players by runs, found from the last row of the first."""
+    careers, people = materialise(careers_table(t), "careers"), people_table(t)
+    first = read.players_behind(careers, people, size=20).collect()  # one page
+    cursor = ranking.cursor_of(first[-1], read.player_keys("runs")) if first else None
+    return read.players_behind(careers, people, cursor, size=20).select(*LIST)
+
+
+@query(sql(f"SELECT {MATCH} FROM mx ORDER BY end_date DESC NULLS LAST, match_id LIMIT 25 OFFSET 50", "m", mixed=True))
+def matches_after(t):
+    """The third page of matches, newest first, from cursor to cursor."""
+    rows, cursor = materialise(match_rows(t), "matches"), None
+    for _ in range(2):
+        page = read.matches_behind(rows, cursor, 25).collect()  # one page each
+        cursor = ranking.cursor_of(page[-1], read.MATCH_KEYS) if page else cursor
+    return read.matches_behind(rows, cursor, 25).select(*MATCH.split(", "))
+
+
+@query(sql(f"SELECT {MATCH} FROM mx WHERE match_id IN (3, 5, 8, 13)", "m", mixed=True))
+def looked_up_matches(t):
+    """Matches looked up in a table that is written for it."""
+    path = scratch_dir(t.spark, "lookup")
+    read.write_lookup(match_rows(t).select(*MATCH.split(", ")), path, "match_id")
+    return read.look_up(t.spark, path, "match_id", [3, 5, 8, 13])
+
+
 @query(sql(f"SELECT {MATCH} FROM mx WHERE match_id IN (3, 5, 8)", "m", mixed=True))
 def matches_by_id(t):
     return read.by_ids(match_rows(t), "match_id", [3, 5, 8]).select(*MATCH.split(", "))

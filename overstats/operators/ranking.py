@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from overstats.session import materialise
@@ -115,6 +115,36 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 50
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def ordered(order: Sequence[tuple[str, bool]]) -> tuple[Column, ...]:
+    """Sort columns of (name, ascending) pairs, nulls last."""
+    return tuple(F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, up in order)
+
+
+def cursor_of(row: Row, order: Sequence[tuple[str, bool]]) -> list:
+    """Where a row stands in the order: what :func:`after` needs to go on behind it."""
+    return [row[k] for k, _ in order]
+
+
+def after(df: DataFrame, order: Sequence[tuple[str, bool]], cursor: Sequence | None = None, size: int = 50) -> DataFrame:
+    """The ``size`` rows behind ``cursor`` (the first ones without) in an order that must tell rows apart.
+
+    However deep the listing, every task keeps ``size`` rows: what lies before the cursor is filtered out where it is read,
+    and isn't counted off. Rows that come and go before the cursor don't shift the page.
+    """
+    if size < 1:
+        raise ValueError("pages begin at 1 row")
+    if cursor is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for (name, up), value in zip(order, cursor, strict=True):
+            column = F.col(name)
+            if value is not None:
+                beyond = column > F.lit(value) if up else column < F.lit(value)
+                behind = behind | (equal & (F.coalesce(beyond, F.lit(False)) | column.isNull()))
+            equal = equal & column.eqNullSafe(F.lit(value))
+        df = df.where(behind)
+    return df.orderBy(*ordered(order)).limit(size)
+
+
 def page_numbers(total: int, number: int, size: int) -> dict[str, int | bool | None]:
     """Where a page sits; a page past the end leads back to the last one."""
     pages = max(1, -(-total // size))

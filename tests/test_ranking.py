@@ -63,6 +63,34 @@ def test_quantiles_interpolate(spark):
             assert abs(r[f"p{round(q * 100)}"] - np.quantile(vs, q)) < 1e-9
 
 
+def test_cursors_walk_the_whole_order(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"])) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, x int, y string")
+    for order in ([("x", False), ("y", True), ("id", True)], [("y", False), ("x", True), ("id", False)]):
+        want = [r.id for r in df.orderBy(*ranking.ordered(order)).collect()]
+        got, cursor = [], None
+        while page := ranking.after(df, order, cursor, 7).collect():
+            got += [r.id for r in page]
+            cursor = ranking.cursor_of(page[-1], order)
+        assert got == want
+    plan = ranking.after(df, order, cursor, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=7" in plan and "Exchange" not in plan
+
+
+def test_lookups_reach_the_scan_and_prune(spark, tmp_path):
+    from overstats.plans import read
+
+    path = str(tmp_path / "lookup")
+    read.write_lookup(spark.range(200_000).select(F.concat(F.lit("m"), F.hex(F.col("id") * 7919)).alias("slug"), "id"), path, "slug")
+    found = read.look_up(spark, path, "slug", ["m1EEF", "m3DDE", "nowhere"])
+    assert {r.id for r in found.collect()} == {1, 2}
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [In(slug" in plan.toString()
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 100_000  # row groups without the values aren't read
+
+
 def test_pages_past_the_end():
     assert ranking.page_numbers(101, 3, 50) == {"pages": 3, "past_end": False, "previous": 2, "next": None}
     assert ranking.page_numbers(10, 9, 50) == {"pages": 1, "past_end": True, "previous": 1, "next": None}
