@@ -12,7 +12,7 @@ leave their task and nothing is shuffled. Phrases go to the tasks in blocks of i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ SAMPLE = 32
 class Phrases:
     """Distinct windows of benchmark items over a small vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         data, offsets = tb.utf8(pa.array([text for _, text in items], pa.string()))
         data = tb.LOWER[data]
         starts, ends, bounds = tb.words(data, offsets, tb.ALNUM)
@@ -50,7 +50,8 @@ class Phrases:
                 number = numbers.setdefault(tuple(own[at : at + window]), len(numbers))
                 if number == len(owners):
                     owners.append(set())
-                owners[number].add(name)
+                if name is not None:
+                    owners[number].add(name)
         self.owners = [sorted(x) for x in owners]
         self.lengths = np.array([len(x) for x in numbers], np.int64)
         #: Words of each phrase from its last one on, as backward search takes them.
@@ -206,28 +207,36 @@ class Hits:
             yield high - low, int(covered.sum()), [(int(self.starts[low + a]), int(self.ends[low + b - 1])) for a, b in edges], items[text]
 
 
-def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Phrases]:
-    """Phrases of the benchmark in blocks of bounded size."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[int, Callable[[], Iterator[Phrases]]]:
+    """How many blocks of bounded size the benchmark's phrases take, and these blocks, as often as they are asked for.
+
+    Repeated rows count once; the phrases of items without id belong to nobody.
+    """
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-2 * size // PHRASE_BYTES))
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield Phrases([tuple(r) for r in block.collect()], window)
+
+    def blocks() -> Iterator[Phrases]:
+        for k in range(n):
+            block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+            yield Phrases([tuple(r) for r in block.collect()], window)
+
+    return n, blocks
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without its text, plus n_words, hits (merged character spans of hit words, end exclusive), n_hit, items.
 
-    Null and empty texts have no words, items without words or id no phrases; an empty benchmark hits nothing.
-    Repeated rows each get their result; columns of ``docs`` named like the new ones are replaced.
+    Null and empty texts have no words, items without words no phrases; an empty benchmark hits nothing. Phrases of items
+    without id hit words all the same, but are no items. Repeated rows each get their result; columns of ``docs`` named like
+    the new ones, whatever their case, are replaced.
     """
     new = ("n_words", "n_hit", "hits", "items")
-    kept = [c for c in docs.columns if c != text_col and c not in new]
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in new]
     df = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_llm_text"),
                      F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
     out = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
-    for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window)):
+    for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window)[1]()):
         df = save(df, "phrases") if k else df
         df = map_batches(df.drop("n_words", "n_hit"), _marked(phrases), out)
     return df.drop("_llm_text")
@@ -286,16 +295,29 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """``docs`` with every hit word span cut out of its text, again until no phrase occurs.
 
     A cut leaves a line break. Texts without hits stay as they are, null included; a text of which no word is
-    left goes. Other columns are kept.
+    left goes. Other columns are kept. If the phrases take several blocks, cutting those of one can join the halves of one
+    of another: texts that a pass over all blocks has changed go through all blocks again.
     """
-    out = docs.schema
-    for k, phrases in enumerate(phrase_blocks(benchmark, item_col, item_text_col, window)):
-        docs = save(docs, "phrases") if k else docs
-        docs = map_batches(docs, _cut(phrases, text_col), out)
-    return docs
+    names = docs.columns
+    at = names.index(text_col)
+    work = docs.toDF(*[f"c{k}" for k in range(len(names))]).withColumn("cut", F.lit(False))
+    n, blocks = phrase_blocks(benchmark, item_col, item_text_col, window)
+    done, schema = None, work.schema
+    while True:
+        for k, phrases in enumerate(blocks()):
+            work = map_batches(save(work, "phrases") if k else work, _cut(phrases, f"c{at}"), schema)
+        if n == 1:  # a text was cut until none of its phrases occurred
+            return work.drop("cut").toDF(*names)
+        work = save(work, "phrases")
+        clean_now = work.where("not cut")
+        done = clean_now if done is None else done.union(clean_now)
+        work = work.where("cut").withColumn("cut", F.lit(False))
+        if work.isEmpty():
+            return done.drop("cut").toDF(*names)
 
 
 def _cut(phrases: Phrases, text_col: str):
+    # The last column tells whether a text was cut.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
@@ -320,7 +342,8 @@ def _cut(phrases: Phrases, text_col: str):
             keep = np.ones(len(texts), bool)
             for k, text in changed.items():
                 keep[k] = len(tb.words(*tb.utf8(pa.array([text], pa.string())), _EITHER_CASE)[0]) > 0
-            columns = [batch.column(i) if i != at else pa.array(texts, batch.schema.field(at).type) for i in range(batch.num_columns)]
+            columns = [batch.column(i) if i != at else pa.array(texts, batch.schema.field(at).type) for i in range(batch.num_columns - 1)]
+            columns.append(pa.array([was or k in changed for k, was in enumerate(batch.column(batch.num_columns - 1).to_pylist())]))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
 
     return run

@@ -58,9 +58,9 @@ def hits(text: str | None, windows: dict) -> tuple[int, set, set]:
     hit, items = set(), set()
     for n in {len(x) for x in windows}:
         for k in range(len(w) - n + 1):
-            if own := windows.get(tuple(w[k : k + n])):
+            if tuple(w[k : k + n]) in windows:
                 hit |= set(range(k, k + n))
-                items |= own
+                items |= windows[tuple(w[k : k + n])]
     return len(w), hit, items
 
 
@@ -73,9 +73,9 @@ def test_phrases_equal_brute_force(spark, monkeypatch, block):
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows: dict = defaultdict(set)
     for i, t in items:
-        w = cases.alnum(t) if i is not None else []
-        for k in range(max(1, len(w) - 9)) if w else ():
-            windows[tuple(w[k : k + 10])].add(str(i))
+        w = cases.alnum(t)
+        for k in range(max(1, len(w) - 9)) if w else ():  # phrases of items without id hit, but are no items
+            windows[tuple(w[k : k + 10])] |= {str(i)} if i is not None else set()
     found = decontaminate.find(docs, bench)
     assert "source" in found.columns and found.columns.count("hits") == 1
     by_text = {(r.doc_id, r.text): hits(r.text, windows) for r in docs.collect()}
@@ -84,12 +84,25 @@ def test_phrases_equal_brute_force(spark, monkeypatch, block):
     cleaned = decontaminate.clean(docs, bench)
     assert cleaned.columns == docs.columns
     left = [(r.doc_id, r.text) for r in cleaned.collect()]
-    assert all(not hits(t, windows)[1] for _, t in left)
+    assert not any(hits(t, windows)[1] for _, t in left)
     clean = {(i, t) for (i, t), (_, h, _) in by_text.items() if not h}
     assert clean <= set(left)
     assert {i for i, _ in left} == {i for (i, t), (n, h, _) in by_text.items() if len(h) < n or not n}
 
 
+@pytest.mark.parametrize("size", [8 << 20, 60])
+def test_a_cut_leaves_no_phrase_of_another_block(spark, monkeypatch, size):
+    """Cutting one phrase joins the halves of another, whichever block is searched first."""
+    monkeypatch.setattr(decontaminate, "PHRASE_BYTES", size)
+    a, b, c = ([f"{x}{k}" for k in range(10)] for x in "abc")
+    texts = [[*b[:5], *a, *b[5:]], [*a[:5], *b, *a[5:]], [*c[:3], *b[:5], *a[:9], *c, *a[9:], *b[5:], *c[3:]], ["only"]]
+    docs = spark.createDataFrame([(k, " ".join(["x", *t, "y"]), k) for k, t in enumerate(texts)], "doc_id long, text string, CUT int")
+    bench = spark.createDataFrame([("a", " ".join(a)), ("b", " ".join(b)), (None, " ".join(c)), ("b", " ".join(b))], "item_id string, text string")
+    got = {r.doc_id: r.text.split() for r in decontaminate.clean(docs, bench).collect()}
+    assert got == {0: ["x", "y"], 1: ["x", "y"], 2: ["x", "y"], 3: ["x", "only", "y"]}
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+
+
 def test_no_phrases_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(cases.documents(spark), none).where("n_hit > 0").count() == 0
@@ -266,6 +279,15 @@ def test_search_equals_full_scoring(spark, monkeypatch):
     assert search.search(cases.empty(spark), queries).count() == 0
 
 
+def test_repeated_queries_are_one(spark):
+    docs = spark.createDataFrame([(0, "red fox"), (0, "red fox"), (1, "red hen"), (2, "blue hen"), (3, "blue")], "doc_id long, text string")
+    asked = lambda *rows: spark.createDataFrame(rows, "id long, text string")
+    ranks = lambda rows: [(r.rank, r.doc_id) for r in search.search(docs, rows, k=4).orderBy("rank").collect()]
+    once = ranks(asked((7, "red fox")))
+    assert once == [(1, 0), (2, 0), (3, 1)] and ranks(asked((7, "red fox"), (7, "red fox"))) == once
+    assert ranks(asked((7, "red"), (7, "fox red"), (7, None))) == once  # the terms of all texts of an id
+
+
 # --- chats -----------------------------------------------------------------
 def test_chats_equal_sql(spark):
     got = QUERIES["op10_chat_format"](spark, FOLDER).toArrow()
