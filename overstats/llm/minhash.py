@@ -303,6 +303,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat in id and set one stays, of sets of one id in a group that of the smallest signature. A row
     without id stays only in a group without any id.
     """
+    names = docs.columns  # columns may have any names: they have others in here
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     rows, nodes = _grouped(docs, id_col, text_col, width, threshold)
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("first"))
     first = first.select(F.xxhash64("first.id").alias("_k0"), F.col("first.h1").alias("_k1"), F.col("first.h2").alias("_k2"))
@@ -323,7 +326,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = marked.join(stay, keys, "left").where("_w = 0 or _n is not null")
     if not stay.where("_n > 1").isEmpty():  # rows that repeat meet again; all others go straight on
         kept = kept.where("_w = 0 or _n = 1").unionByName(kept.where("_w > 0 and _n > 1").dropDuplicates(keys))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*docs.columns).toDF(*names)
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -40,6 +41,19 @@ def give_back() -> None:
         trim(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Free native memory of the driver's JVM goes back to the system, where the JVM can do that."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    try:
+        beans.invoke(spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+    except Py4JError:
+        pass  # an older JVM, or another system
+
+
+#: Folders of our own, by application.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and the master local."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -47,15 +61,15 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"overstats-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    return _FOLDERS.setdefault(own, os.path.join(tempfile.gettempdir(), f"overstats-{own}"))
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a written table: it survives the loss of any executor."""
     path = f"{shared_folder(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(df.sparkSession)
     saved = df.sparkSession.read.schema(df.schema).parquet(path)
     saved._overstats_path = path
     return saved

@@ -50,6 +50,15 @@ def test_groups_equal_all_pairs(spark, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_columns_of_any_name(spark):
+    docs = cases.documents(spark, n=5)
+    for name in ("_w", "_k0", "_K1", "_n", "c1"):
+        docs = docs.withColumn(name, docs.hits)
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns and {r["_K1"] for r in kept.collect()} == {7}
+    assert kept.count() == minhash.deduplicate(cases.documents(spark, n=5)).count()
+
+
 def test_one_of_each_group_stays(spark):
     docs = cases.documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

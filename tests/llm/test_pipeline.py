@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert [int(x[2:].split("_")[0]) for x in QUERIES] == list(range(1, 11))
+    assert [int(x[2:].split("_")[0]) for x in QUERIES] == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
 
 
