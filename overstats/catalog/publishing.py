@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from overstats.catalog.base import n_if, query, sql, total
 from overstats.catalog.matches import match_rows
+from overstats.catalog.players import careers_table
+from overstats.operators import contract
 from overstats.operators import matches as match_ops
 from overstats.operators import players, publish, quality, ranking, state, teams
 from overstats.session import materialise, scratch_dir
@@ -214,6 +216,85 @@ def orphaned_keys(t):
     return quality.orphans(ids, "team_id", known, "team_id", "team of a record")
 
 
+def _number(column="person_id"):
+    return F.substring(column, 2, 9).cast("int")
+
+
+N = "CAST(SUBSTR(person_id, 2) AS INT)"
+SPLIT_KEY = "person_id || '|' || format_key || '|' || dimension || '|' || subject"
+
+
+def _faults(key: str, table: str, *rules: tuple[str, str]) -> str:
+    cases = ", ".join(f"CASE WHEN {test} THEN '{rule}' END" for rule, test in rules)
+    return f"SELECT key, rule FROM (SELECT {key} AS key, UNNEST([{cases}]) AS rule FROM {table}) WHERE rule IS NOT NULL"
+
+
+@query(sql(_faults(SPLIT_KEY, "bs", ("dots_of_balls", f"{N} % 5 = 1 AND dimension = 'phase'"), ("scoring", f"{N} % 5 = 1 AND dimension = 'phase'"),
+                   ("outs", f"{N} % 7 = 2 AND dimension = 'year'"), ("dimension", f"{N} % 9 = 3 AND dimension = 'position'")), "bs"))
+def batting_split_violations(t):
+    """Rows of splits with faults put in: too many dots, counters below nothing, dimensions that don't exist."""
+    n, d = _number(), F.col("dimension")
+    rows = players.batting_splits(t.deliveries, t.people).withColumns({
+        "dots": F.when((n % 5 == 1) & (d == "phase"), F.col("balls") + 1).otherwise(F.col("dots")),
+        "outs": F.when((n % 7 == 2) & (d == "year"), F.lit(-1)).otherwise(F.col("outs"))})
+    found = contract.violations(rows.withColumn("dimension", F.when((n % 9 == 3) & (d == "position"), "place").otherwise(d)), "batting_splits")
+    return found.withColumn("key", F.replace("key", F.lit("|place|"), F.lit("|position|")))
+
+
+@query(sql(_faults(SPLIT_KEY, "bws", ("extras_of_runs", f"{N} % 4 = 1 AND dimension = 'hand'"), ("whole", f"{N} % 6 = 5 AND dimension = 'all'")), "bws"))
+def bowling_split_violations(t):
+    n, d = _number(), F.col("dimension")
+    rows = players.bowling_splits(t.deliveries, t.people).withColumns({
+        "wides": F.when((n % 4 == 1) & (d == "hand"), F.col("runs") + 1).otherwise(F.col("wides")),
+        "subject": F.when((n % 6 == 5) & (d == "all"), "everything").otherwise(F.col("subject"))})
+    found = contract.violations(rows, "bowling_splits")
+    return found.withColumn("key", F.replace("key", F.lit("|everything"), F.lit("|all")))
+
+
+LOG_KEY = "CAST(match_id AS VARCHAR) || '|' || CAST(innings AS VARCHAR) || '|' || person_id"
+
+
+@query(sql(_faults(LOG_KEY, "bi", ("date", "match_id % 8 = 3"), ("teams", "match_id % 10 = 7"), ("dismissal", "out AND match_id % 6 = 1"))
+           + f" UNION ALL SELECT {LOG_KEY}, 'key' FROM bi WHERE match_id % 12 = 5", "bi"))
+def batting_log_violations(t):
+    """Innings of batters with faults put in, some of them there twice."""
+    m, c = F.col("match_id"), F.col
+    rows = state.batting_innings(t.deliveries)
+    rows = rows.withColumns({
+        "date": F.when(m % 8 == 3, "05/2010").otherwise(c("date")), "opposition": F.when(m % 10 == 7, c("team")).otherwise(c("opposition")),
+        "dismissal": F.when(c("out") & (m % 6 == 1), "").otherwise(c("dismissal"))})
+    twice = rows.where(m % 12 == 5)
+    found = contract.violations(rows.unionByName(twice), "batting_innings")
+    return found.distinct()
+
+
+@query(sql(_faults(LOG_KEY, "wi", ("maiden_balls", "match_id % 5 = 2"), ("wickets", "match_id % 7 = 4")), "wi"))
+def bowling_log_violations(t):
+    m = F.col("match_id")
+    rows = state.bowling_innings(t.deliveries)
+    return contract.violations(rows.withColumns({
+        "maidens": F.when(m % 5 == 2, F.col("balls") + 1).otherwise(F.col("maidens")), "wickets": F.when(m % 7 == 4, F.lit(-2)).otherwise(F.col("wickets"))}), "bowling_innings")
+
+
+@query(sql(_faults("person_id || '|' || format_key", "car", ("bat_sr", f"{N} % 5 = 0 AND runs IS NOT NULL"), ("highest", f"{N} % 6 = 1 AND runs IS NOT NULL"), ("matches", f"{N} % 8 = 3")), "car"))
+def career_violations(t):
+    """Careers whose rates aren't those of their counters, whose best is more than all, or without a match."""
+    n, c = _number(), F.col
+    rows = careers_table(t, False).withColumns({
+        "bat_sr": F.when(n % 5 == 0, c("bat_sr") + 1).otherwise(c("bat_sr")), "highest": F.when(n % 6 == 1, c("runs") + 1).otherwise(c("highest")),
+        "matches": F.when(n % 8 == 3, F.lit(0)).otherwise(c("matches"))})
+    return contract.violations(rows, "careers")
+
+
+@query(sql(_faults("team_id || '|' || format_key || '|' || facet || '|' || subject", "trx", ("results", "facet = 'year'"), ("span", "facet = 'toss'")), "tr", mixed=True))
+def team_record_violations(t):
+    c = F.col
+    rows = teams.records(match_rows(t)).withColumns({
+        "no_result": F.when(c("facet") == "year", c("no_result") + 1).otherwise(c("no_result")),
+        "first_date": F.when(c("facet") == "toss", F.concat(c("last_date"), F.lit("x"))).otherwise(c("first_date"))})
+    return contract.violations(rows, "team_records")
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS key, 'unique line' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1")
 def duplicate_keys(t):
     return quality.duplicates(t.table("lineitem"), ["l_orderkey", "l_linenumber"], "unique line")
