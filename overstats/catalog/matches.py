@@ -260,9 +260,14 @@ def meetings(t):
           F.max("end_date").alias("last_date"))
 
 
-@query(sql("""SELECT match_id, has FROM (SELECT match_id, TRUE AS has FROM dx GROUP BY 1)""", "d", mixed=True))
+@query(sql("SELECT match_id, match_id % 5 NOT IN (1, 2, 3) AS has FROM dx GROUP BY 1", "d", mixed=True))
 def documents_with_deliveries(t):
-    return t.documents(mixed=True).select("match_id", docs.has_deliveries(F.col("innings")).alias("has"))
+    """Some documents without innings, with overs that hold nothing, or with super overs alone."""
+    m, innings = F.col("match_id") % 5, F.col("innings")
+    bare = F.transform(innings, lambda i: i.withField("overs", F.transform(i["overs"], lambda o: o.withField("deliveries", F.slice(o["deliveries"], 1, 0)))))
+    extra = F.transform(innings, lambda i: i.withField("super_over", F.lit(True)))
+    rows = t.documents(mixed=True).withColumn("innings", F.when(m == 1, F.slice(innings, 1, 0)).when(m == 2, bare).when(m == 3, extra).otherwise(innings))
+    return rows.select("match_id", docs.has_deliveries(F.col("innings")).alias("has"))
 
 
 @query(sql("""SELECT match_id, event_name, event_stage, (event_stage = 'Final' AND event_name = 'World Cup') IS TRUE AS featured FROM mx""", "m", mixed=True))

@@ -322,14 +322,17 @@ def reconciled_bowling(t):
     return quality.reconcile_bowling(got, logged)
 
 
-@query(sql("SELECT CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS rule FROM d WHERE FALSE", "d"))
+@query(sql(f"""SELECT DISTINCT person_id || '|' || format_key AS key, 'phase sums' AS rule FROM bs WHERE dimension = 'phase' AND {N} % 5 = 2
+UNION SELECT person_id || '|' || format_key, 'year sums' FROM bs WHERE dimension = 'year' AND {N} % 7 = 3""", "bs"))
 def split_sums(t):
-    """Dimensions that cover every ball must add up to the whole: no rows."""
-    splits = materialise(players.batting_splits(t.deliveries, t.people), "splits")
+    """Dimensions that cover every ball must add up to the whole; some phases have a run too many, some years are gone."""
+    n, d = _number(), F.col("dimension")
+    splits = players.batting_splits(t.deliveries, t.people).withColumn("runs", F.when((d == "phase") & (n % 5 == 2), F.col("runs") + 1).otherwise(F.col("runs")))
+    splits = materialise(splits.where(~((d == "year") & (n % 7 == 3))), "splits")
     out = quality.split_sums(splits, "phase", players.BAT_COUNTS)
     for dimension in ("entry", "position", "innings_no", "year", "vs_bowler"):
         out = out.unionByName(quality.split_sums(splits, dimension, players.BAT_COUNTS))
-    return out.select(F.col("key").alias("key"), F.col("rule").alias("rule"))
+    return out
 
 
 @query(sql(f"""SELECT match_id, innings, {n_if('q % 2 = 1 AND runs_extras > 0')} AS balls, MIN(CASE WHEN q % 2 = 1 AND runs_extras > 0 THEN seq END) AS first_seq

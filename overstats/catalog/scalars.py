@@ -65,16 +65,6 @@ def missing_fields(t):
         "o_orderkey", F.array_join(text.missing_fields(raw), ",").alias("missing"))
 
 
-LICENCES = ("CC BY-SA 4.0", "Public domain", "CC0", "GODL-India", "CC BY-NC 4.0", "GFDL", "cc-by-2.0 de", "CC BY-ND 3.0", "", "pd-old")
-ACCEPTED = ("yes", "yes", "yes", "yes", "no", "no", "yes", "no", "no", "yes")
-
-
-@query(f"SELECT doc_id, name, accepted = 'yes' AS accepted FROM (SELECT doc_id, {pick(LICENCES, 'doc_id % 10')} AS name, {pick(ACCEPTED, 'doc_id % 10')} AS accepted FROM documents)")
-def licences(t):
-    rows = t.table("documents").select("doc_id", _pick(LICENCES, F.col("doc_id") % 10).alias("name"))
-    return rows.withColumn("accepted", text.licence_accepted(F.col("name")))
-
-
 @query("""SELECT doc_id, line, COALESCE(name <> '' AND NOT REGEXP_MATCHES(name, '(^| )(nc|nd)( |$)') AND REGEXP_FULL_MATCH(name,
   '(cc0|cc zero)( [0-9]+(\\.[0-9]+)?)?( universal)?|(public domain|pd|pdm)( .*)?|cc by( sa)?( [0-9]+(\\.[0-9]+)?)?( [a-z]+)*|godl( india)?'), FALSE) AS accepted
 FROM (SELECT doc_id, line, TRIM(REGEXP_REPLACE(REPLACE(REPLACE(REGEXP_REPLACE(LOWER(line), '^.*(licensed under|released under) ', ''), '-', ' '), '_', ' '), '\\s+', ' ', 'g')) AS name
@@ -120,3 +110,18 @@ def grounds(t):
     return t.deliveries.select("venue", "city").distinct().select(
         "venue", "city", ground.alias("ground"),
         geography.normal_city(ground, c("city")).alias("normal_city"))
+
+
+@query("""SELECT named, COUNT(*) AS lines, COUNT(DISTINCT doc_id) AS documents, COALESCE(name <> '' AND NOT REGEXP_MATCHES(name, '(^| )(nc|nd)( |$)') AND REGEXP_FULL_MATCH(name,
+  '(cc0|cc zero)( [0-9]+(\\.[0-9]+)?)?( universal)?|(public domain|pd|pdm)( .*)?|cc by( sa)?( [0-9]+(\\.[0-9]+)?)?( [a-z]+)*|godl( india)?'), FALSE) AS accepted
+FROM (SELECT doc_id, named, TRIM(REGEXP_REPLACE(REPLACE(REPLACE(named, '-', ' '), '_', ' '), '\\s+', ' ', 'g')) AS name
+ FROM (SELECT doc_id, REGEXP_REPLACE(LOWER(line), '^.*(licensed under|released under) ', '') AS named FROM (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS line FROM documents)
+  WHERE CONTAINS(LOWER(line), 'licensed under ') OR CONTAINS(LOWER(line), 'released under '))) GROUP BY named, name""")
+def licences(t):
+    """The licences that documents name, how often, and whether they are accepted."""
+    low = F.lower("line")
+    lines = t.table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    named = lines.where(low.contains("licensed under ") | low.contains("released under ")).withColumn(
+        "named", F.regexp_replace(low, "^.*(licensed under|released under) ", ""))
+    return named.groupBy("named").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("doc_id").alias("documents")).withColumn(
+        "accepted", text.licence_accepted(F.col("named")))

@@ -137,7 +137,8 @@ def judged_splits(splits: DataFrame, discipline: str,
 GROUP = ("format_key", "discipline", "dimension_key", "subject")
 
 
-def claims(judged: DataFrame, gates: C.Thresholds = C.THRESHOLDS) -> DataFrame:
+def claims(judged: DataFrame, gates: C.Thresholds = C.THRESHOLDS,
+           per_kind: int = C.CLAIMS_PER_KIND) -> DataFrame:
     """Strengths and weaknesses that survive every gate, ranked by severity.
 
     Severity ties go by dimension order, then subject.
@@ -175,7 +176,7 @@ def claims(judged: DataFrame, gates: C.Thresholds = C.THRESHOLDS) -> DataFrame:
     order = (F.desc("severity"), F.desc("discipline_first"), F.asc("ordinal"), F.asc("subject"))
     rows = rows.withColumn("discipline_first", F.when(c("discipline") == "batting", 1).otherwise(0))
     return top_per_group(
-        rows, ("person_id", "format_key", "kind"), order, C.CLAIMS_PER_KIND
+        rows, ("person_id", "format_key", "kind"), order, per_kind
     ).drop("discipline_first", "below", "ties", "claimable", "in_pool")
 
 

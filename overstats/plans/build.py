@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overstats import config as C
-from overstats.operators import cohort, matches, players, publish, quality, state, teams, venues
+from overstats.operators import cohort, contract, matches, players, publish, quality, state, teams, venues
 from overstats.operators import winmodel
 from overstats.session import materialise
 from overstats.sources import documents as docs
@@ -135,6 +135,11 @@ def write(spark: SparkSession, build: Build, root: str, scope_keys: list[str] |
     return out
 
 
+def violations(build: Build) -> DataFrame:
+    """(table, key, rule) of everything in a build that breaks the tables' contract."""
+    return contract.check(build.tables)
+
+
 def models(build: Build, holdout: str = C.HOLDOUT_FROM,
            min_matches: int = C.MIN_MODEL_MATCHES) -> dict[str, DataFrame]:
     """Win models of a build with ground pars."""

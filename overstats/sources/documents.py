@@ -60,16 +60,17 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None,
                    limit: int | None = None) -> DataFrame:
     """One row per match: its newest readable file, with the id taken from the file name.
 
-    ``fmt`` is needed unless the folder is partitioned by ``fmt``. ``limit``
-    counts matches in order of their ids after the gender filter.
+    ``fmt`` is needed unless the folder is partitioned by ``fmt``. The newest file says what a match is: ``gender`` is asked
+    of it, and ``limit`` counts matches in order of their ids after that. Which matches have several files is seen in the
+    listing of the folder; only their documents are shuffled.
     """
+    options = {"recursiveFileLookup": fmt is not None, "pathGlobFilter": "*.json"}
     docs = (
         spark.read.schema(f"{MATCH_DDL}, _corrupt STRING")
+        .options(**options)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", fmt is not None)
-        .option("pathGlobFilter", "*.json")
         .json(path)
         .withColumns(
             {
@@ -83,10 +84,16 @@ def read_documents(spark: SparkSession, path: str, fmt: str | None = None,
     )
     if fmt is not None:
         docs = docs.withColumn("fmt", F.lit(fmt))
+    files = spark.read.format("binaryFile").options(**options).load(path).select(  # the listing alone
+        match_id_of(F.element_at(F.split("path", "/"), -1)).alias("match_id"))
+    revised = files.groupBy("match_id").count().where("count > 1").select("match_id")
+    if not revised.isEmpty():
+        several = latest_revision(docs.join(revised, "match_id", "left_semi"))
+        docs = docs.join(revised, "match_id", "left_anti").unionByName(several)
     if gender is not None:
         wanted = [gender] if isinstance(gender, str) else list(gender)
         docs = docs.where(F.col("info.gender").isin(*wanted))
-    docs = with_format(latest_revision(docs).drop("file_name"))
+    docs = with_format(docs.drop("file_name"))
     if limit is not None:  # ids are chosen before documents are moved
         chosen = docs.select("match_id").orderBy("match_id").limit(limit)
         docs = docs.join(chosen, "match_id", "left_semi")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import functions as F
 
 from overstats.operators import matches, players, state
@@ -29,6 +32,19 @@ def flat(spark, tmp_path, doc, fmt="t20i"):
     return docs.flatten(docs.read_documents(spark, save(tmp_path / "m", m1=doc), fmt))
 
 
+
+def test_the_newest_file_says_the_gender(spark, tmp_path):
+    people = lambda gender: match(innings("India", [B(1)]), people=PEOPLE, gender=gender)
+    path = save(tmp_path / "in", m1=people("female"), m2=people("female"), m3=people("male"))
+    time.sleep(1.1)
+    (tmp_path / "in" / "m1.r2.json").write_text(json.dumps(people("male")))
+    (tmp_path / "in" / "m3.r2.json").write_text("{")  # the newest that can be read
+    read = lambda gender: sorted(r.match_id for r in docs.read_documents(spark, path, "odi", gender=gender).collect())
+    assert read("female") == ["m2"] and read("male") == ["m1", "m3"]
+    alone = save(tmp_path / "alone", m1=people("male"))
+    assert "Exchange" not in docs.read_documents(spark, alone, "odi")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_legal_faced_dots_and_running_columns(spark, tmp_path):
     doc = match(innings("India", [
         B(0), B(0, {"wides": 1}), B(1, {"noballs": 1}), B(0, {"byes": 2}),
