@@ -252,8 +252,38 @@ def replay_context(t):
         F.col("batting_team").alias("team")).distinct()
     faced = balls.select("match_id", "bowler_id", "bowling_type", F.col("bowling_team").alias("team")).distinct()
     splits = materialise(bat_splits(t).where("balls >= 60"), "splits")
-    traits = t.spark.createDataFrame([], "person_id string, format_key string, kind string, rank int, dimension_key string, subject string")
-    return read.replay_context(there, traits, splits, faced)["splits"].drop("format_key")
+    return read.replay_context(there, cohort.claims(judged(t, "batting")), splits, faced)["splits"].drop("format_key")
+
+
+@query(sql(f"""SELECT match_id, person_id, format_key, kind, rank, dimension_key, subject FROM mp JOIN ({claims_sql("batting")}) cl USING (person_id) WHERE rank <= 2""", "d", extra={"mp": CONTEXT["mp"]}))
+def replay_traits(t):
+    """The two first strengths and weaknesses of everyone who batted in a match."""
+    there = t.deliveries.select(
+        "match_id", F.col("batter_id").alias("person_id"), "format_key", F.col("batting_team").alias("team")).distinct()
+    nobody = t.deliveries.select("match_id", "bowler_id", F.lit("").alias("bowling_type"), F.col("bowling_team").alias("team")).distinct()
+    return read.replay_context(there, cohort.claims(judged(t, "batting")), players.batting_splits(t.deliveries, t.people), nobody)["traits"]
+
+
+MEASURES = ("matches", "bat_innings", "runs", "bat_avg", "bat_sr", "hundreds", "fifties", "bowl_balls", "wickets", "bowl_avg", "bowl_econ", "bowl_sr")
+LONG = ", ".join(f"{{'measure': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in MEASURES)
+
+
+@query(sql(f"""SELECT measure, a, b, CASE WHEN measure IN ('bowl_avg', 'bowl_econ', 'bowl_sr') THEN CASE WHEN a < b THEN 'a' WHEN b < a THEN 'b' END WHEN a > b THEN 'a' WHEN b > a THEN 'b' END AS better
+FROM (SELECT x.measure AS measure, MAX(CASE WHEN person_id = 'p03' THEN x.value END) AS a, MAX(CASE WHEN person_id = 'p10' THEN x.value END) AS b
+ FROM (SELECT person_id, UNNEST([{LONG}]) AS x FROM car WHERE person_id IN ('p03', 'p10') AND format_key = 't20i-m') GROUP BY 1)""", "car"))
+def compared_measures(t):
+    """Two players' records in one format, and whose is better."""
+    none = t.spark.createDataFrame([], "person_id string, format_key string, axis string, percentile double")
+    return read.compare("p03", "p10", careers_table(t, False), none, "t20i-m")[0]
+
+
+@query(sql(f"""SELECT {MATCH} FROM (SELECT * FROM mx WHERE (team1_id = 'india-m' OR team2_id = 'india-m')
+ AND format_key = (SELECT format_key FROM trx WHERE team_id = 'india-m' AND facet = 'overall' ORDER BY matches DESC, format_key LIMIT 1)
+ ORDER BY end_date DESC, match_id LIMIT 10)""", "tr", mixed=True))
+def team_recent_matches(t):
+    """The other half of a team's page: its last ten matches in the format it plays most."""
+    rows = materialise(match_rows(t), "matches")
+    return read.team_page(teams.records(rows), rows, "india-m")["recent"].select(*MATCH.split(", "))
 
 
 @query(sql(f"""SELECT person_id, discipline, section, place, line, balls FROM (
