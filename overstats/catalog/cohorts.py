@@ -83,7 +83,8 @@ CLAIM = ("person_id", "format_key", "kind", "rank", "dimension_key", "subject",
 
 
 def judged(t, discipline):
-    splits = bat_splits(t) if discipline == "batting" else bowl_splits(t)
+    only = cohort.judged_dimensions(discipline)
+    splits = bat_splits(t, only=only) if discipline == "batting" else bowl_splits(t, only=only)
     return cohort.judged_splits(splits, discipline)
 
 

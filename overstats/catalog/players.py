@@ -19,12 +19,12 @@ BOWL_RATES = f"""balls / CAST(6 AS DOUBLE) AS overs, {ratio('runs', 'balls', 6)}
  {ratio('fours + sixes', 'balls', 100)} AS boundary_pct"""
 
 
-def bat_splits(t, mixed=False):
-    return players.batting_splits(t.mixed if mixed else t.deliveries, t.people)
+def bat_splits(t, mixed=False, only=None):
+    return players.batting_splits(t.mixed if mixed else t.deliveries, t.people, only)
 
 
-def bowl_splits(t, mixed=False):
-    return players.bowling_splits(t.mixed if mixed else t.deliveries, t.people)
+def bowl_splits(t, mixed=False, only=None):
+    return players.bowling_splits(t.mixed if mixed else t.deliveries, t.people, only)
 
 
 def bat_innings(t, mixed=False):
@@ -196,7 +196,7 @@ FULL JOIN (SELECT person_id, format_key, SUBSTR(date, 1, 4) AS year, COUNT(*) AS
            "bo", "bwo", mixed=True))
 def yearly(t):
     t.hold(mixed=True)
-    return players.yearly(bat_splits(t, True), bowl_splits(t, True), bat_innings(t, True),
+    return players.yearly(bat_splits(t, True, ("year",)), bowl_splits(t, True, ("year",)), bat_innings(t, True),
                           bowl_innings(t, True))
 
 

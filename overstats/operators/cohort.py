@@ -87,6 +87,11 @@ def _judged(discipline: str):
     return BATTING_JUDGED if discipline == "batting" else BOWLING_JUDGED
 
 
+def judged_dimensions(discipline: str) -> tuple[str, ...]:
+    """The dimensions of splits that claims are made of, and the whole they are held against."""
+    return ("all", *sorted({dim for _key, dim, _metric, _up in _judged(discipline)}))
+
+
 def judged_splits(splits: DataFrame, discipline: str,
                   gates: C.Thresholds = C.THRESHOLDS) -> DataFrame:
     """Splits as judged rows: value, baseline, shrunk value, ratio, pool flag.

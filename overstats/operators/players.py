@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,14 +126,28 @@ def batting_dimensions() -> dict[str, Column]:
     }
 
 
-def batting_splits(deliveries: DataFrame, people: DataFrame) -> DataFrame:
-    """Counters per person, format and subject of every batting dimension.
+def _chosen(dimensions: dict[str, Column], only: Collection[str] | None) -> dict[str, Column]:
+    if only is None:
+        return dimensions
+    if unknown := set(only) - set(dimensions):
+        raise ValueError(f"no dimensions: {sorted(unknown)}")
+    return {k: v for k, v in dimensions.items() if k in only}
+
+
+def batting_splits(deliveries: DataFrame, people: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Counters per person, format and subject of every batting dimension, or ``only`` of some.
 
     Dismissals here are those of the striker on the ball; ``all`` is the same
-    accounting over every ball, the baseline splits are compared with.
+    accounting over every ball, the baseline splits are compared with. Bowlers'
+    styles and arrival positions are only worked out for dimensions that ask.
     """
-    rows = with_people(batting_positions(deliveries), people)
-    return _stack(rows, "batter_id", batting_dimensions(), batting_counts(), BAT_NEEDS)
+    asked = set(batting_dimensions() if only is None else only)
+    rows = batting_positions(deliveries) if asked & {"position", "entry"} else deliveries
+    rows = with_people(rows, people) if asked & {"type", "family", "type_phase"} else rows.withColumns(
+        {k: F.lit("") for k in ("bowling_type", "bowling_family")})
+    if not asked & {"position", "entry"}:
+        rows = rows.withColumns({"position": F.lit(None).cast("int"), "faced_before": F.lit(None).cast("bigint")})
+    return _stack(rows, "batter_id", _chosen(batting_dimensions(), only), batting_counts(), BAT_NEEDS)
 
 
 def bowling_dimensions() -> dict[str, Column]:
@@ -149,9 +165,11 @@ def bowling_dimensions() -> dict[str, Column]:
     }
 
 
-def bowling_splits(deliveries: DataFrame, people: DataFrame) -> DataFrame:
-    rows = with_people(deliveries, people)
-    return _stack(rows, "bowler_id", bowling_dimensions(), bowling_counts(), BOWL_NEEDS)
+def bowling_splits(deliveries: DataFrame, people: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Counters per person, format and subject of every bowling dimension, or ``only`` of some."""
+    styled = only is None or "hand" in only
+    rows = with_people(deliveries, people) if styled else deliveries.withColumn("batting_hand", F.lit(""))
+    return _stack(rows, "bowler_id", _chosen(bowling_dimensions(), only), bowling_counts(), BOWL_NEEDS)
 
 
 def batting_totals(deliveries: DataFrame) -> DataFrame:
