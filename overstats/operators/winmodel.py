@@ -608,36 +608,40 @@ def fit(moments: DataFrame, chases: DataFrame, half_lives=(None,),
     )
 
 
-def choose_half_lives(moments: DataFrame, chases: DataFrame, firsts: DataFrame,
-                      base: DataFrame, match_dates: DataFrame, holdout: str,
-                      years: int = 3, half_lives=C.HALF_LIVES) -> dict[str, float | None]:
-    """Half-life per format, chosen on the years before the holdout.
+def half_life_scores(moments: DataFrame, chases: DataFrame, firsts: DataFrame, base: DataFrame, match_dates: DataFrame,
+                     holdout: str, years: int = 3, half_lives=C.HALF_LIVES) -> DataFrame:
+    """(format_key, candidate, half_life, brier) of every half-life, fitted before and scored on the years before the holdout.
 
-    Formats with fewer than 50 matches to fit or 20 to validate get none.
+    ``brier`` adds the rounded scores of both innings. Formats with fewer than 50 matches to fit or 20 to validate have none.
     """
+    c = F.col
     split = f"{int(holdout[:4]) - years:04d}{holdout[4:]}"
-    early, late = F.col("date") < split, (F.col("date") >= split) & (F.col("date") < holdout)
+    early, late = c("date") < split, (c("date") >= split) & (c("date") < holdout)
+    spark = moments.sparkSession
     sizes = match_dates.groupBy("format_key").agg(
         flags.count_if(early).alias("fit"), flags.count_if(late).alias("val")
     ).where("fit >= 50 AND val >= 20")
-    formats = [r["format_key"] for r in sizes.collect()]
+    formats = [r["format_key"] for r in sizes.collect()]  # formats are a handful
+    schema = "format_key string, candidate int, half_life double, brier double"
     if not formats:
-        return {}
-    chosen = F.col("format_key").isin(*formats)
+        return spark.createDataFrame([], schema)
+    chosen = c("format_key").isin(*formats)
     model = fit(moments.where(early & chosen), chases.where(early & chosen), half_lives)
     scored = scores(
         predictions(chases.where(late & chosen), firsts.where(late & chosen), model, base, 12),
         (*MODEL, "part"),
-    ).select(*MODEL, "part", "brier").collect()
-    combined: dict[tuple[str, int], float] = {}
-    for row in scored:
-        key = (row["format_key"], row["candidate"])
-        combined[key] = combined.get(key, 0.0) + round(row["brier"], 4)
-    out: dict[str, float | None] = {}
-    for fk in formats:
-        options = [(round(v, 4), cand) for (f, cand), v in combined.items() if f == fk]
-        out[fk] = half_lives[min(options)[1]] if options else None
-    return out
+    ).groupBy(*MODEL).agg(F.round(F.sum(F.round("brier", 4)), 4).alias("brier"))
+    options = spark.createDataFrame([(k, None if h is None else float(h)) for k, h in enumerate(half_lives)], "candidate int, half_life double")
+    return scored.join(options, "candidate").select("format_key", "candidate", "half_life", "brier")
+
+
+def choose_half_lives(moments: DataFrame, chases: DataFrame, firsts: DataFrame,
+                      base: DataFrame, match_dates: DataFrame, holdout: str,
+                      years: int = 3, half_lives=C.HALF_LIVES) -> dict[str, float | None]:
+    """Half-life per format with the best of :func:`half_life_scores`, the first of equal ones."""
+    best = half_life_scores(moments, chases, firsts, base, match_dates, holdout, years, half_lives).groupBy("format_key").agg(
+        F.min_by("half_life", F.struct("brier", "candidate")).alias("half_life"))
+    return {r["format_key"]: r["half_life"] for r in best.collect()}
 
 
 def build_models(states: DataFrame, holdout: str = C.HOLDOUT_FROM,

@@ -78,3 +78,26 @@ def test_scoring_is_monotone_and_settles_at_the_ends(spark):
     out = ends.join(F.broadcast(model)).select(
         winmodel.chase_win(F.col("u"), F.col("w"), F.col("need"))).collect()
     assert [r[0] for r in out] == [0.0, 0.0, 1.0]
+
+
+def test_half_lives_are_chosen_by_later_years(spark):
+    """Chases used to be won and no longer are: what forgets sooner scores better, and formats with few matches have no choice."""
+    years = range(2006, 2020)
+    moments, chases, firsts, dates = [], [], [], []
+    for y in years:
+        for m in range(1, 13):
+            day = f"{y}-{m:02d}-10"
+            late = y >= 2014
+            moments += [("t20i-m", 120, day, 0, u, 5, 5 * 150.0 * (1 - math.exp(-0.01 * u)), 5 * (150.0 * (1 - math.exp(-0.01 * u))) ** 2 + 900.0) for u in (20, 60, 100, 120)]
+            chases += [("t20i-m", 120, day, 0, u, need, won, 9 if won != late else 1) for u in (60, 120) for need in (40, 90, 150) for won in (True, False)]
+            firsts += [("t20i-m", day, 0, 60, 70, won, 0, 9 if won == late else 1) for won in (True, False)]
+            dates += [("t20i-m", f"{day}{k}", day) for k in range(2)] + [("odi-m", f"x{day}", day)][: m // 12]
+    frame = spark.createDataFrame
+    args = (frame(moments, "format_key string, max_balls int, date string, w int, u int, n long, sy double, syy double"),
+            frame(chases, "format_key string, max_balls int, date string, w int, u int, need int, won boolean, n long"),
+            frame(firsts, "format_key string, date string, w int, u int, r int, won boolean, stride int, n long"),
+            frame([("t20i-m", 0.5)], "format_key string, base_first double"), frame(dates, "format_key string, match_id string, date string"))
+    scores = {r.half_life: r.brier for r in winmodel.half_life_scores(*args, "2020-01-01", half_lives=(None, 8.0, 1.0)).collect()}
+    assert scores[1.0] < scores[8.0] < scores[None]
+    assert winmodel.choose_half_lives(*args, "2020-01-01", half_lives=(None, 8.0, 1.0)) == {"t20i-m": 1.0}
+    assert winmodel.choose_half_lives(*args, "2006-02-01") == {}
