@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from overstats.catalog.base import n_if, query, sql, total
-from overstats.catalog.matches import match_rows
+from overstats.catalog.matches import TEAM_OF, match_rows
 from overstats.catalog.players import careers_table
+from overstats.functions import text
 from overstats.operators import contract
 from overstats.operators import matches as match_ops
 from overstats.operators import players, publish, quality, ranking, state, teams
@@ -335,6 +336,28 @@ def split_sums(t):
     return out
 
 
+@query(sql(f"""SELECT team_id, format_key, person_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY team_id, format_key ORDER BY wickets DESC, runs_conceded, person_id) AS rank FROM (
+ SELECT {TEAM_OF} AS team_id, format_key, person_id, {total('runs')} AS runs_conceded, {total('wickets')} AS wickets, {n_if('match_id % 9 = 4')} AS lost FROM wix GROUP BY 1, 2, 3)) WHERE rank <= 15 AND lost > 0""", "wi", mixed=True))
+def reconciled_team_bowlers(t):
+    """Teams' leading bowlers whose totals some replays are missing for."""
+    logged = materialise(state.bowling_innings(t.mixed), "bowling")
+    gender = teams.gender_of_key(F.col("format_key"))
+    replayed = logged.where(F.col("match_id") % 9 != 4).withColumn("team_id", text.team_id(F.col("team"), gender))
+    return quality.reconcile_team_bowlers(replayed, teams.top_bowlers(logged, gender))
+
+
+@query(sql("SELECT match_id FROM dx WHERE match_id % 6 = 5 GROUP BY 1", "d", mixed=True))
+def explicit_zero_extras(t):
+    """Documents that write extras of nothing."""
+    def zero(i):
+        return i.withField("overs", F.transform(i["overs"], lambda o: o.withField("deliveries", F.transform(o["deliveries"], lambda d: d.withField(
+            "extras", F.create_map(F.lit("wides"), F.lit(0)).cast("map<string,int>"))))))
+
+    rows = t.documents(mixed=True)
+    rows = rows.withColumn("innings", F.when(F.col("match_id") % 6 == 5, F.transform("innings", zero)).otherwise(F.col("innings")))
+    return quality.explicit_zero_extras(rows)
+
+
 @query(sql(f"""SELECT match_id, innings, {n_if('q % 2 = 1 AND runs_extras > 0')} AS balls, MIN(CASE WHEN q % 2 = 1 AND runs_extras > 0 THEN seq END) AS first_seq
 FROM d GROUP BY 1, 2 HAVING COUNT(CASE WHEN q % 2 = 1 AND runs_extras > 0 THEN 1 END) > 0""", "d"))
 def extras_mismatches(t):

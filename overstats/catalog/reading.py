@@ -108,6 +108,16 @@ def head_to_head(t):
     return read.head_to_head(match_rows(t), "pakistan-m", "india-m", "t20i-m").select(*MATCH.split(", "))
 
 
+@query(sql("""SELECT s.person_id, s.format_key, dimension, subject, s.balls, s.runs, s.outs FROM bsx s JOIN (SELECT person_id, format_key FROM (SELECT person_id, format_key, ROW_NUMBER() OVER (
+ PARTITION BY person_id ORDER BY COALESCE(balls, 0) + COALESCE(bowl_balls, 0) DESC, CASE WHEN format_key LIKE 'test%' THEN 0 WHEN format_key LIKE 'odi%' THEN 1 ELSE 2 END) AS rn FROM carx) WHERE rn = 1) c
+ ON c.person_id = s.person_id AND c.format_key = s.format_key WHERE s.balls >= 60""", "car", mixed=True))
+def player_profiles(t):
+    """The splits that players' pages show: those of the format each plays most."""
+    chosen = read.main_formats(careers_table(t))
+    splits = players.batting_splits(t.mixed, t.people).where("balls >= 60")
+    return read.profile_sections(chosen, {"splits": splits})["splits"].select("person_id", "format_key", "dimension", "subject", "balls", "runs", "outs")
+
+
 @query(sql(f"SELECT {', '.join(LIST)} FROM rows ORDER BY runs DESC NULLS LAST, name NULLS LAST, person_id LIMIT 20 OFFSET 20", "car", mixed=True, extra=JOINED))
 def players_after(t):
     """The second page of players by runs, found from the last row of the first."""
