@@ -344,7 +344,7 @@ def _cut(phrases: Phrases, text_col: str):
                 keep[k] = len(tb.words(*tb.utf8(pa.array([text], pa.string())), _EITHER_CASE)[0]) > 0
             columns = [batch.column(i) if i != at else pa.array(texts, batch.schema.field(at).type) for i in range(batch.num_columns - 1)]
             columns.append(pa.array([was or k in changed for k, was in enumerate(batch.column(batch.num_columns - 1).to_pylist())]))
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
     return run
 

@@ -103,6 +103,20 @@ def test_a_cut_leaves_no_phrase_of_another_block(spark, monkeypatch, size):
     assert decontaminate.clean(docs, bench).columns == docs.columns
 
 
+def test_batches_with_and_without_hits_in_one_task(spark):
+    docs = spark.createDataFrame([(k, "red fox jumps over" if k % 40 == 7 else f"text {k}") for k in range(200)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("a", "fox jumps")], "item_id string, text string")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "5")
+    try:
+        left = {r.doc_id: r.text for r in decontaminate.clean(docs, bench).collect()}
+        assert len(left) == 200 and left[47].split() == ["red", "over"] and left[48] == "text 48"
+        assert decontaminate.find(docs, bench).where("n_hit > 0").count() == 5
+    finally:
+        spark.conf.set(setting, was)
+
+
 def test_no_phrases_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(cases.documents(spark), none).where("n_hit > 0").count() == 0
