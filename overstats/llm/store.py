@@ -25,6 +25,8 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
         df.sparkSession.conf.set(setting, str(BATCH_ROWS))
 
+    trim_driver(df.sparkSession)
+
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         give_back()
@@ -42,10 +44,25 @@ def give_back() -> None:
 
 
 def trim_driver(spark: SparkSession) -> None:
-    """Free native memory of the driver's JVM goes back to the system, where the JVM can do that."""
-    beans = spark._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    """Free native memory of the driver's JVM goes back to the system, where the JVM has a command for it.
+
+    The command is a management bean's; its class is closed to Py4J, so the interface's method is called.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for k, value in enumerate(values):
+            out[k] = value
+        return out
+
     try:
-        beans.invoke(spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+        named = jvm.java.lang.Class.forName
+        kinds = map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke.invoke(server, array(jvm.java.lang.Object, bean, "systemTrimNativeHeap", None, None))
     except Py4JError:
         pass  # an older JVM, or another system
 
