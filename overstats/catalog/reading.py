@@ -290,7 +290,7 @@ def compared_measures(t):
 @query(sql(f"""SELECT {MATCH} FROM (SELECT * FROM mx WHERE (team1_id = 'india-m' OR team2_id = 'india-m')
  AND format_key = (SELECT format_key FROM trx WHERE team_id = 'india-m' AND facet = 'overall' ORDER BY matches DESC, format_key LIMIT 1)
  ORDER BY end_date DESC, match_id LIMIT 10)""", "tr", mixed=True))
-def team_recent_matches(t):
+def team_page_recent(t):
     """The other half of a team's page: its last ten matches in the format it plays most."""
     rows = materialise(match_rows(t), "matches")
     return read.team_page(teams.records(rows), rows, "india-m")["recent"].select(*MATCH.split(", "))
