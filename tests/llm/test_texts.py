@@ -293,6 +293,35 @@ def test_search_equals_full_scoring(spark, monkeypatch):
     assert search.search(cases.empty(spark), queries).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1 << 24, 4000])
+def test_common_terms_are_no_lists(monkeypatch, cells):
+    """Lists that are read are those of rarer terms, and the best are those of full scoring, to the ninth digit."""
+    monkeypatch.setattr(search, "FIRST", 50)
+    monkeypatch.setattr(search, "REST", 0.3)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "CELLS", cells)
+    draw = np.random.default_rng(5)
+    counts = [Counter((draw.zipf(1.3, 60) % 400).tolist()) for _ in range(600)]
+    found = [(np.array(sorted(x)), np.array([x[t] for t in sorted(x)]), 60) for x in counts]
+    df = Counter(t for x in counts for t in x)
+    idf = np.array([math.log(1 + (600 - df[t] + 0.5) / (df[t] + 0.5)) for t in range(400)])
+    weight = lambda x, t: idf[t] * x[t] * 2.2 / (x[t] + 1.2) if t in x else 0.0
+    queries = [found[k][0] for k in range(0, 600, 20)] + [np.array([399]), np.zeros(0, int)]
+    want = [[sum(weight(x, t) for t in q.tolist()) for x in counts] for q in queries]
+    read, was = [], search.Shard.read
+    monkeypatch.setattr(search.Shard, "read", lambda self, lists, sums: (read.extend(np.diff(self.first)[lists].tolist()), was(self, lists, sums))[1])
+    shard = search.Shard(list(range(600)), found, idf, 60.0)
+    for least in (0.0, 1.0):
+        bounds = [least * sorted(x)[-4] for x in want]
+        for top, scores in zip(shard.top(queries, 4, bounds), want, strict=True):
+            last = max(sorted(scores)[-4], 1e-12)
+            best = {d: x for d, x in enumerate(scores) if x >= last * (1 - 1e-12)}
+            assert {d: x for x, d in top} == pytest.approx(best, abs=1e-8)
+    assert read and max(df.values()) > 500
+    if cells > 600 * 400:
+        assert max(read) <= search.COMMON * 600
+
+
 def test_repeated_queries_are_one(spark):
     docs = spark.createDataFrame([(0, "red fox"), (0, "red fox"), (1, "red hen"), (2, "blue hen"), (3, "blue")], "doc_id long, text string")
     asked = lambda *rows: spark.createDataFrame(rows, "id long, text string")
