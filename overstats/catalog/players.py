@@ -20,11 +20,11 @@ BOWL_RATES = f"""balls / CAST(6 AS DOUBLE) AS overs, {ratio('runs', 'balls', 6)}
 
 
 def bat_splits(t, mixed=False, only=None):
-    return players.batting_splits(t.mixed if mixed else t.deliveries, t.people, only)
+    return players.batting_splits(t.hold(mixed, only is None or bool({"position", "entry"} & set(only))), t.people, only)
 
 
 def bowl_splits(t, mixed=False, only=None):
-    return players.bowling_splits(t.mixed if mixed else t.deliveries, t.people, only)
+    return players.bowling_splits(t.hold(mixed), t.people, only)
 
 
 def bat_innings(t, mixed=False):
@@ -200,10 +200,23 @@ def yearly(t):
                           bowl_innings(t, True))
 
 
+#: What careers are made of; the rest of an innings is neither worked out nor written.
+INNINGS_BATTED = (*players.KEYS, "runs", "out", "outs_other_end")
+INNINGS_BOWLED = (*players.KEYS, "runs", "wickets", "maidens")
+
+
+def batted(t, mixed=False):
+    """Innings of batters as careers need them, written once for all that read them."""
+    if ("batted", mixed) not in t.written:
+        t.hold(mixed)
+        t.written["batted", mixed] = materialise(bat_innings(t, mixed).select(*INNINGS_BATTED), "batting-innings")
+    return t.written["batted", mixed]
+
+
 def careers_table(t, mixed=True):
     rows = t.hold(mixed)
-    bi = materialise(bat_innings(t, mixed), "batting-innings")
-    wi = materialise(bowl_innings(t, mixed), "bowling-innings")
+    bi = batted(t, mixed)
+    wi = materialise(bowl_innings(t, mixed).select(*INNINGS_BOWLED), "bowling-innings")
     return players.careers(
         players.squads_from_deliveries(rows),
         players.batting_overall(bi, players.batting_totals(rows)), players.batting_milestones(bi),

@@ -84,6 +84,40 @@ def appearances(deliveries: DataFrame) -> DataFrame:
     ).withColumn("position", F.dense_rank().over(arrival)).drop("_first")
 
 
+def arrivals(deliveries: DataFrame) -> DataFrame:
+    """Every ball with the striker's position and the balls they faced before it.
+
+    The positions are those of :func:`appearances`, and the balls those of
+    :func:`faced_before`, both by one sort of the sightings. A ball without a
+    striker has no position.
+    """
+    c = F.col
+    seen = lambda rank, person: F.struct(rank.alias("_rank"), person.alias("_person"))
+    who = F.concat(
+        F.array(seen(F.lit(0), c("batter_id")), seen(F.lit(1), c("non_striker_id"))),
+        F.coalesce(F.transform("wickets", lambda w, i: seen(i + 2, w["player_out_id"])),
+                   F.array().cast("array<struct<_rank:int,_person:string>>")),
+    )
+    known = F.coalesce(c("_person") != "", F.lit(False))
+    rows = deliveries.select(*deliveries.columns, F.inline(who)).where((c("_rank") == 0) | known)
+    person = Window.partitionBy("match_id", "innings", "_person").orderBy("seq", "_rank")
+    upto = person.rowsBetween(Window.unboundedPreceding, 0)
+    before = person.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns(
+        {
+            "_first": F.when(known, F.first(F.struct("seq", "_rank")).over(upto)),
+            "faced_before": F.coalesce(
+                F.sum(_flag((c("_rank") == 0) & c("is_faced"))).over(before),
+                F.lit(0).cast("bigint"),
+            ),
+        }
+    )
+    arrival = Window.partitionBy("match_id", "innings").orderBy(F.asc_nulls_last("_first"))
+    return rows.withColumn("position", F.when(known, F.dense_rank().over(arrival))).where(
+        c("_rank") == 0
+    ).drop("_rank", "_person", "_first")
+
+
 def replay_states(deliveries: DataFrame, max_balls: Column) -> DataFrame:
     """State after every ball of the first two innings, as a feed reports it."""
     played = F.col("played_no") if "played_no" in deliveries.columns else F.col("innings")
