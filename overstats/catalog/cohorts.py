@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from overstats.catalog.base import query, ratio, sql
 from overstats.catalog.players import (
-    bat_innings, bat_overall, bat_splits, bowl_innings, bowl_overall, bowl_splits, careers_table,
+    bat_overall, bat_splits, batted, bowl_innings, bowl_overall, bowl_splits, careers_table,
 )
 from overstats.functions import rates
 from overstats.operators import cohort, players, ranking
@@ -172,7 +172,7 @@ def profile_sql(discipline: str) -> str:
 @query(profile_sql("batting"))
 def batting_profiles(t):
     splits = materialise(bat_splits(t), "splits")
-    overall = players.batting_overall(bat_innings(t), players.whole(splits))
+    overall = players.batting_overall(batted(t), players.whole(splits))
     return cohort.profiles(splits, overall, "batting")
 
 
@@ -235,12 +235,12 @@ def split_moments(t):
 
 def _named(t):
     """People under invented names."""
-    return players.squads_from_deliveries(t.deliveries).select("person_id").distinct().withColumn("name", F.concat(F.lit("Player "), F.col("person_id")))
+    return players.squads_from_deliveries(t.hold()).select("person_id").distinct().withColumn("name", F.concat(F.lit("Player "), F.col("person_id")))
 
 
 def _documents(t):
     splits, cuts = materialise(bat_splits(t), "splits"), materialise(bowl_splits(t), "splits")
-    overall = players.batting_overall(bat_innings(t), players.whole(splits))
+    overall = players.batting_overall(batted(t), players.whole(splits))
     return sinks.player_documents(
         _named(t), careers_table(t, False), splits, cuts, cohort.claims(cohort.judged_splits(splits, "batting")),
         cohort.profiles(splits, overall, "batting"))
