@@ -113,8 +113,9 @@ def head_to_head(t):
  ON c.person_id = s.person_id AND c.format_key = s.format_key WHERE s.balls >= 60""", "car", mixed=True))
 def player_profiles(t):
     """The splits that players' pages show: those of the format each plays most."""
+    balls = t.hold(mixed=True, arrivals=True)
     chosen = read.main_formats(careers_table(t))
-    splits = players.batting_splits(t.mixed, t.people).where("balls >= 60")
+    splits = players.batting_splits(balls, t.people).where("balls >= 60")
     return read.profile_sections(chosen, {"splits": splits})["splits"].select("person_id", "format_key", "dimension", "subject", "balls", "runs", "outs")
 
 
