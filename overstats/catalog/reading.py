@@ -206,9 +206,9 @@ def opponent_threats(t):
 FROM pr a JOIN pr b USING (axis) WHERE a.person_id = 'p03' AND b.person_id = 'p10'""", extra={"pr": profile_sql("batting")}))
 def compared_profiles(t):
     """Two players on the profile axes both have."""
-    from overstats.catalog.players import bat_innings, bat_splits
+    from overstats.catalog.players import bat_splits, batted
     splits = materialise(bat_splits(t), "splits")
-    overall = players.batting_overall(bat_innings(t), players.whole(splits))
+    overall = players.batting_overall(batted(t), players.whole(splits))
     profiles = cohort.profiles(splits, overall, "batting")
     return read.compare("p03", "p10", careers_table(t, False), profiles, "t20i-m")[1]
 
