@@ -257,13 +257,15 @@ UNION ALL SELECT w.match_id, w.person_id, s.dimension, s.subject, s.balls, s.run
 def replay_context(t):
     """Splits of everyone in a match against the types and bowlers they face."""
     from overstats.catalog.players import bat_splits
-    balls = players.with_people(t.deliveries, t.people)
+    splits = materialise(bat_splits(t).where("dimension = 'all' OR balls >= 60"), "splits")
     there = t.deliveries.select(
         "match_id", F.col("batter_id").alias("person_id"), "format_key",
         F.col("batting_team").alias("team")).distinct()
-    faced = balls.select("match_id", "bowler_id", "bowling_type", F.col("bowling_team").alias("team")).distinct()
-    splits = materialise(bat_splits(t).where("balls >= 60"), "splits")
-    return read.replay_context(there, cohort.claims(judged(t, "batting")), splits, faced)["splits"].drop("format_key")
+    # Styles are told of a match's bowlers, not of every ball.
+    bowled = t.deliveries.select("match_id", "bowler_id", F.lit("").alias("batter_id"), F.col("bowling_team").alias("team")).distinct()
+    faced = players.with_people(bowled, t.people).select("match_id", "bowler_id", "bowling_type", "team")
+    claims = cohort.claims(cohort.judged_splits(splits, "batting"))
+    return read.replay_context(there, claims, splits.where("balls >= 60"), faced)["splits"].drop("format_key")
 
 
 @query(sql(f"""SELECT match_id, person_id, format_key, kind, rank, dimension_key, subject FROM mp JOIN ({claims_sql("batting")}) cl USING (person_id) WHERE rank <= 2""", "d", extra={"mp": CONTEXT["mp"]}))
